@@ -24,7 +24,9 @@ def as_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    text = pc.fill_null(column.cast(pa.large_string()), "")
+    # a copy: string kernels misread arrays whose first offset is not 0, as slices have
+    return text.take(pa.array(np.arange(len(text))))
 
 
 def byte_lengths(text: pa.Array) -> np.ndarray:
