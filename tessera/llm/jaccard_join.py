@@ -19,7 +19,8 @@ smallest document id of its connected group.
    also emits a prefix of single features, which serves pairs of two such sets.
 3. **Verification.** Each set is first compared with one pivot (the candidate with
    the fewest unshared features, as the original of a group of copies has).
-   Only candidates that lie in different groups after that are compared in pairs.
+   What lies in different groups after that, but shares signatures, is compared
+   block against block; a pair is then a cell of a small matrix, not a row.
 
 The features of a hot passage are counted before the shuffle, a group of equal
 documents is one representative, and no group is ever expanded into its pairs
@@ -297,30 +298,87 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "da", "db").mapInArrow(_verify, "a bigint, b bigint")
 
 
-def _could_link(sa: str, na: str, sb: str, nb: str) -> str:
-    """Even if the smaller shared part lay wholly in the other set, would they link?"""
-    return f"100 * least({sa}, {sb}) >= 75 * ({na} + {nb} - least({sa}, {sb}))"
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks of sets: one at most for each set of the first block and group of the second."""
+    for batch in batches:
+        for minor, other in zip(batch.column("minor").to_pylist(), batch.column("other").to_pylist(), strict=True):
+            left = [np.frombuffer(x["data"], np.uint64) for x in minor]
+            right = [np.frombuffer(x["data"], np.uint64) for x in other]
+            common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+            counts = _incidence(left, common) @ _incidence(right, common).T
+            na, nb = (np.array([x["n"] for x in side], np.int64) for side in (minor, other))
+            ga, gb = (np.array([x["g"] for x in side], np.int64) for side in (minor, other))
+            counts = counts.astype(np.int64)
+            close = (100 * counts >= 75 * (na[:, None] + nb[None, :] - counts)) & (ga[:, None] != gb[None, :])
+            i, j = np.nonzero(close)
+            if len(i):
+                _, once = np.unique(np.stack([i, gb[j]]), axis=1, return_index=True)
+                ids = [np.array([x["doc_id"] for x in side], np.int64) for side in (minor, other)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[0][i[once]]), pa.array(ids[1][j[once]])], names=["a", "b"])
+
+
+def _incidence(sets: list[np.ndarray], common: np.ndarray) -> np.ndarray:
+    """A 0/1 matrix: which of the values in ``common`` each set has."""
+    matrix = np.zeros((len(sets), len(common)), np.float32)
+    for k, s in enumerate(sets):
+        if len(common):
+            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+            matrix[k, at[common[at] == s]] = 1
+    return matrix
+
+
+#: Sets in different groups that share a signature are compared in pairs if the signature has no more sets than this.
+FEW = 24
+#: Features in one block of sets that a task compares with another block.
+BLOCK_FEATURES = 40_000
+
+
+def _crossing_links(grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between sets of different groups that share a signature.
+
+    ``grouped`` has (sig, doc_id, n, s, g). The sets of a signature that few
+    share are compared in pairs. Groups that share a common signature form
+    clusters; in each, every set outside the cluster's largest group is compared
+    with all others, block against block, so that pairs exist only as cells of a
+    count matrix in a task.
+    """
+    mixed = grouped.groupBy("sig").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("k")).where("low < high")
+    mixed = materialize(grouped.join(mixed.select("sig", "low", "k"), "sig"), "jaccard-mixed")
+    sides = [mixed.where(F.col("k") <= FEW).select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "s", "g")]) for x in "ab"]
+    bound = F.expr("g_a < g_b AND 100 * least(s_a, s_b) >= 75 * (n_a + n_b - least(s_a, s_b))")
+    few = sides[0].join(sides[1], (sides[0]["sig"] == sides[1]["sig"]) & bound).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+    many = mixed.where(F.col("k") > FEW).select("doc_id", "g", "low").distinct()
+    return verified(few.distinct(), sets).unionByName(_cluster_links(many, sets))
+
+
+def _cluster_links(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between sets (doc_id) of different groups (g) that lie in one cluster; (g, low) are the edges between groups."""
+    touching = many.select("g", "low").distinct()
+    clusters = materialize(connected_components(touching).withColumnRenamed("id", "g").withColumnRenamed("component", "c"), "jaccard-clusters")
+    own = many.select("doc_id", "g").distinct().join(clusters, "g")
+    members = materialize(own.join(sets.select("doc_id", "n", "s", "data"), "doc_id"), "jaccard-members")
+    sizes = members.groupBy("c", "g").agg(F.count("*").alias("k"), F.sum("s").alias("s"))
+    total = sizes.groupBy("c").agg(F.sum("s").alias("s"), F.max_by("g", F.struct("k", "g")).alias("largest"))
+    total = total.select("c", "largest", F.ceil(F.col("s") / BLOCK_FEATURES).alias("blocks"))
+    placed = members.join(total, "c").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    fields = F.collect_list(F.struct("doc_id", "g", "n", "data"))
+    other = placed.groupBy("c", "block").agg(fields.alias("other"))
+    minor = placed.where("g <> largest AND 100 * s >= 75 * n").groupBy("c", "block").agg(fields.alias("minor"))
+    pairs = minor.select("c", "minor").join(other.select("c", "other"), "c")
+    return pairs.select("minor", "other").mapInArrow(_block_links, "a bigint, b bigint")
 
 
 def links(sets: DataFrame) -> DataFrame:
     """Enough links (a, b) between ``sets`` to connect whatever is connected."""
-    signed = sets.select("doc_id", "n", "s", F.explode("sigs").alias("sig"))
-    signed = materialize(signed, "jaccard-signatures")
+    signed = materialize(sets.select("doc_id", "n", "s", F.explode("sigs").alias("sig")), "jaccard-signatures")
     best = F.struct((F.col("n") - F.col("s")).alias("u"), "doc_id")
     buckets = signed.groupBy("sig").agg(F.min(best).alias("pivot"), F.count("*").alias("k")).where("k > 1").select("sig", "pivot")
     pivots = signed.join(buckets, "sig").groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
     first = pivots.select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b")).where("a <> b")
     first = materialize(verified(first, sets), "jaccard-first")
     groups = connected_components(first).select(F.col("id").alias("doc_id"), F.col("component").alias("g"))
-    grouped = signed.join(materialize(groups, "jaccard-groups"), "doc_id", "left").withColumn("g", F.coalesce("g", "doc_id"))
-    grouped = materialize(grouped, "jaccard-grouped")
-    mixed = grouped.groupBy("sig").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("sig")
-    rest = grouped.join(mixed, "sig", "left_semi")
-    left = rest.select("sig", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "s", "g")])
-    right = rest.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "s", "g")])
-    bound = F.expr(f"g_a < g_b AND {_could_link('s_a', 'n_a', 's_b', 'n_b')}")
-    crossing = left.join(right, (left["sig"] == right["sig"]) & bound).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-    return first.unionByName(verified(crossing, sets))
+    grouped = signed.join(materialize(groups, "jaccard-groups"), "doc_id", "left").select("sig", "doc_id", "n", "s", F.coalesce("g", "doc_id").alias("g"))
+    return first.unionByName(_crossing_links(grouped, sets))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
