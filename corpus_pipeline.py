@@ -1,10 +1,16 @@
-"""Five corpus operators in a row, from ``documents`` to encoded documents."""
+"""Five corpus operators in a row, from ``documents`` to encoded documents.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its
+predecessor kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import quality
+from tessera.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
 from tessera.llm.storage import materialize
 from tessera.session import load
 
@@ -14,10 +20,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat earlier ones; those with nothing left go."""
+    cut = line_dedup.dedup_lines(docs)
+    left = cut.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near duplicates."""
+    groups = jaccard_join.similar_groups(docs)
+    return docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, load(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids instead of their texts."""
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", unique_lines),
+    ("jaccard_join", unique_documents),
+    ("decontaminate", no_benchmarks),
+    ("bpe", encoded),
 ]
 
+#: SimHash, alignment and BPE have no SQL form; tests/llm compares the pipeline with a plain Python version.
 ORACLE_SQL = None
 
 
