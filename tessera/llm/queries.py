@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, jaccard_join, line_dedup, pii, quality
+from tessera.llm import bpe, decontaminate, jaccard_join, licenses, line_dedup, pii, quality
 from tessera.session import load
 
 
@@ -39,12 +39,17 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(load(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
     "op1_decontaminate": op1_decontaminate,
     "op4_bpe": op4_bpe,
     "op2_pii": op2_pii,
+    "op3_licenses": op3_licenses,
     "op6_quality_rules": op6_quality_rules,
 }
 
