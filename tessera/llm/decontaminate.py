@@ -31,6 +31,8 @@ from tessera.llm.arrow_text import as_text, slices
 Q = 8
 #: Length of the item windows that are looked for, in bytes; shorter items are windows as a whole.
 LENGTH = 64
+#: Windows start at multiples of this in an item, and at its last place; a match longer by this holds one.
+STEP = 8
 #: Edits allowed in a hundred bytes.
 RATE = 8
 #: Items with fewer normalised bytes could match ordinary prose; they are not looked for.
@@ -40,6 +42,7 @@ BLOCK_BYTES = 2 << 20
 
 _FOLD = bytes(0x20 if c < 0x30 or 0x39 < c < 0x41 or 0x5A < c < 0x61 or 0x7A < c < 0x80 else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _FILTER_BITS = 22
+_CELLS = 1 << 14
 
 
 def normalize(text: str) -> bytes:
@@ -97,11 +100,12 @@ class GramIndex:
         return np.repeat(at, count), self.item[where], self.offset[where]
 
 
-def band_distance(a: bytes, b: bytes, band: int) -> int:
-    """Fewest edits that turn ``a`` into some prefix-to-suffix stretch of ``b``, with up to ``band`` of ``b`` unused at either end.
+def band_distance(a: bytes, b: bytes, band: int, most: int) -> int:
+    """Fewest edits that turn ``a`` into some stretch of ``b``, with up to ``band`` of ``b`` unused at either end.
 
     One row of the alignment at a time, restricted to diagonals within the band;
-    insertions along a row are a running minimum.
+    insertions along a row are a running minimum. Gives up, with a number over
+    ``most``, as soon as no cell of a row is within ``most``.
     """
     width = len(b) - len(a) + 2 * band + 1
     if width <= 0:
@@ -119,6 +123,8 @@ def band_distance(a: bytes, b: bytes, band: int) -> int:
         delete = np.concatenate((row[1:] + 1, [big]))
         best = np.minimum(diagonal, delete)
         row = np.minimum.accumulate(best - steps) + steps
+        if row.min() > most:
+            break
     return int(row.min())
 
 
@@ -133,11 +139,20 @@ def _regions(pos: np.ndarray, item: np.ndarray, offset: np.ndarray, index: GramI
     for shift in (0, 1):  # bands of width 2e, overlapping by e
         step = np.maximum(2 * edits, 1)
         band = (diagonal + shift * edits) // step
+        # hits of bands with too few of them go before anything is sorted; bands that fall together in the table only keep more
+        cell = (item * 40503 + band) & (_CELLS - 1)
+        full = np.flatnonzero(np.bincount(cell, minlength=_CELLS)[cell] >= need)
+        found += _dense(item[full], band[full], offset[full], need[full], window[full], diagonal[full])
+    return found
+
+
+def _dense(item, band, offset, need, window, diagonal) -> list[tuple[int, int, int, int]]:
+    """Bands with ``need`` hits inside one window."""
+    found = []
+    if len(item):
         order = np.lexsort((offset, band, item))
         o_item, o_band, o_off, o_need, o_win, o_diag = item[order], band[order], offset[order], need[order], window[order], diagonal[order]
         group = np.concatenate(([0], np.cumsum((o_item[1:] != o_item[:-1]) | (o_band[1:] != o_band[:-1])))) if len(order) else np.zeros(0, np.int64)
-        if not len(group):
-            continue
         # hit k and the hit need-1 places on: do they belong to one band and one window?
         k = np.arange(len(group))
         to = k + o_need - 1
@@ -157,14 +172,14 @@ def leaks_in(text: bytes, index: GramIndex) -> list[tuple[int, int, int, int]]:
         pattern = index.texts[item]
         window = min(len(pattern), LENGTH)
         edits = edits_allowed(window)
-        # slide over the stretch that holds the hits; windows half a window apart and the one at its end
+        # the windows of the item over the stretch that holds the hits
         top = max(0, min(last + Q, len(pattern)) - window)
         low = max(0, min(first, len(pattern) - window))
-        for at in sorted({*range(low, top + 1, max(1, window // 8)), top, low}):
+        for at in sorted({*range(low - low % STEP, top + 1, STEP), len(pattern) - window}):
             piece = pattern[at : at + window]
             start = at + diagonal
             region = text[max(0, start - 2 * edits) : max(0, start + window + 2 * edits)]
-            distance = 0 if piece in region else band_distance(piece, region, 2 * edits)
+            distance = 0 if piece in region else band_distance(piece, region, 2 * edits, edits)
             if distance <= edits:
                 seen = best.get(item)
                 span = (max(0, first + diagonal), min(len(text), last + Q + diagonal))
