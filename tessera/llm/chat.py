@@ -1,8 +1,7 @@
 r"""Conversations as training text, assembled column-wise.
 
 Each turn becomes ``<|role|>\n``, its text with control strings escaped, and
-``</turn>\n``. In role and text a ``\`` is put before every ``\``, ``<|``, ``|>`` and
-``</turn>``, so headers and ends of turns never occur inside a
+``</turn>\n``. In role and text a ``\`` is put before every ``\``, ``|`` and ``</turn>``, so headers and ends of turns never occur inside a
 text and unescaping gives it back exactly.
 
 A batch is assembled without a loop over its turns: the lengths of all
@@ -31,10 +30,10 @@ TRAINED = "assistant"
 
 def _escape(text: pa.Array) -> pa.Array:
     """Escaped copies of a string column, by one whole-column replacement."""
-    return pc.replace_substring_regex(text, r"(\\|<\||\|>|</turn>)", r"\\\1")
+    return pc.replace_substring_regex(text, r"(\\|\||</turn>)", r"\\\1")
 
 
-_ESCAPED = re.compile(r"\\(\\|<\||\|>|</turn>)")
+_ESCAPED = re.compile(r"\\(\\|\||</turn>)")
 
 
 def unescape(text: str) -> str:
@@ -140,7 +139,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return dealt.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text").mapInArrow(_format, _FORMATTED)
 
 
-_TURN = re.compile(r"<\|((?:\\.|[^\\|]|\|(?!>))*)\|>\n((?:\\.|[^\\<]|<(?!/turn>))*)</turn>\n", re.DOTALL)
+_TURN = re.compile(r"<\|((?:\\.|[^\\|])*)\|>\n((?:\\.|[^\\<]|<(?!/turn>))*)</turn>\n", re.DOTALL)
 
 
 def parse(formatted: bytes) -> list[tuple[str, str]]:
