@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, jaccard_join, licenses, line_dedup, pii, quality
+from tessera.llm import bpe, chat, decontaminate, jaccard_join, licenses, line_dedup, pii, quality, suffix_dedup
 from tessera.session import load
 
 
@@ -50,6 +50,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffix_dedup.remove_repeats(docs)
+    kept = F.sha2(F.coalesce("kept", F.encode(F.coalesce("text", F.lit("")), "UTF-8")), 256)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_licenses": op3_licenses,
     "op10_chat_format": op10_chat_format,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
 }
 
