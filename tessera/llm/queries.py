@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, jaccard_join, licenses, line_dedup, pii, quality, suffix_dedup
+from tessera.llm import bpe, chat, decontaminate, jaccard_join, licenses, line_dedup, lm_score, pii, quality, suffix_dedup
 from tessera.session import load
 
 
@@ -57,6 +57,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "n_words", F.round("score", 4).alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
@@ -66,7 +71,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op10_chat_format": op10_chat_format,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_lm_score": op9_lm_score,
     "op6_quality_rules": op6_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+p AS (SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM t),
+u AS (SELECT word, count(*) AS c FROM t GROUP BY word),
+b AS (SELECT prev, word, count(*) AS c FROM p WHERE prev IS NOT NULL GROUP BY prev, word HAVING count(*) >= 2),
+s AS (
+    SELECT p.doc_id, CASE WHEN b.c IS NOT NULL THEN ln(b.c / u1.c)
+        ELSE ln(u2.c / (SELECT count(*) FROM t)) + CASE WHEN p.prev IS NULL THEN 0 ELSE ln(0.4) END END AS x
+    FROM p JOIN u AS u2 ON u2.word = p.word LEFT JOIN u AS u1 ON u1.word = p.prev
+    LEFT JOIN b ON b.prev = p.prev AND b.word = p.word
+)
+SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(sc, 0)::DOUBLE, 4) AS score
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, sum(x) AS sc FROM s GROUP BY doc_id) USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_lm_score": _OP9_SQL}
