@@ -1 +1 @@
-
+"""Retrieval operators and versioned tables, as DataFrame programs."""
