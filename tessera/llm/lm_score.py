@@ -225,11 +225,11 @@ def score(docs: DataFrame) -> DataFrame:
     often = counts.where(F.col("c") * FREQUENT >= total).collect()  # FREQUENT rows at most
     frequent = spark.sparkContext.broadcast(Frequent([r["word"] for r in often], [r["c"] for r in often], total))
     buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = texts.mapInArrow(_deal_pairs(frequent, buckets), _PACKED).repartition(buckets, "bucket")
+    pairs = texts.mapInArrow(_deal_pairs(frequent, buckets), _PACKED).repartitionById(buckets, F.col("bucket"))
     direct = pairs.mapInArrow(_score_pairs(frequent), _SUMS)
     open_ = pairs.mapInArrow(_pass_on(frequent, buckets), _PACKED)
     table = counts.where(F.col("c") >= LEAST_PAIRS).mapInArrow(_table_rows(buckets), _PACKED)
-    later = open_.unionAll(table).repartition(buckets, "bucket").mapInArrow(_divide, _SUMS)
+    later = open_.unionAll(table).repartitionById(buckets, F.col("bucket")).mapInArrow(_divide, _SUMS)
     summed = direct.unionAll(later).groupBy("key").agg(F.sum("n").alias("n"), F.sum("score").alias("s"))
     aside = ("text", "n_words", "score")
     joined = keyed.drop(*aside).join(summed.withColumnRenamed("key", "__key"), "__key", "left").join(copies, "__key")
