@@ -70,30 +70,40 @@ def _from_five(data: bytes, n: int, skip: int = 0) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _packed_rows(bucket: np.ndarray, doc: np.ndarray, buckets: int, *columns: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((doc, bucket))
+def _packed_rows(bucket: np.ndarray, doc: np.ndarray, buckets: int, word: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket: its documents, the lengths of runs of one word, and in ``data`` the runs' words, each element's document (by number) and its other words."""
+    order = np.lexsort((word, bucket))
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     rows = []
     for k in range(buckets):
         part = order[cuts[k] : cuts[k + 1]]
         if len(part):
-            ids, counts = np.unique(doc[part], return_counts=True)
-            rows.append((k, ids, counts.astype(np.int32), b"".join(_five(c[part]) for c in columns)))
+            ids, number = np.unique(doc[part], return_inverse=True)
+            at = np.concatenate(([0], np.flatnonzero(np.diff(word[part])) + 1))
+            runs = np.diff(np.concatenate((at, [len(part)])))
+            parts = [_five(word[part[at]]), number.astype(_numbers(len(ids))).tobytes(), *(_five(c[part]) for c in others)]
+            rows.append((k, ids, runs.astype(np.int32), b"".join(parts)))
     kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
     columns = zip(*rows, strict=True) if rows else [[]] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=_NAMES)
 
 
+def _numbers(documents: int) -> type[np.unsignedinteger]:
+    """The type of document numbers in a packed row."""
+    return np.uint16 if documents <= 1 << 16 else np.uint32
+
+
 def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray, ...]:
     """(doc, column...) of all packed rows of a task."""
     docs, columns = [], [[] for _ in range(width)]
     for batch in batches:
         for ids, counts, data in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-            n = counts.values.to_numpy()
-            docs.append(np.repeat(ids.values.to_numpy(), n))
-            raw = data.as_py()
-            for k in range(width):
-                columns[k].append(_from_five(raw, int(n.sum()), 5 * k * int(n.sum())))
+            ids, runs, raw = ids.values.to_numpy(), counts.values.to_numpy(), data.as_py()
+            n, kind = int(runs.sum()), np.dtype(_numbers(len(ids)))
+            docs.append(ids[np.frombuffer(raw, kind, n, 5 * len(runs))])
+            columns[0].append(np.repeat(_from_five(raw, len(runs)), runs))
+            for k in range(1, width):
+                columns[k].append(_from_five(raw, n, 5 * len(runs) + kind.itemsize * n + 5 * n * (k - 1)))
     join = lambda xs, t: np.concatenate([*xs, np.zeros(0, t)])
     return join(docs, np.int64), *(join(c, np.uint64) for c in columns)
 
