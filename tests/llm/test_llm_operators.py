@@ -127,10 +127,10 @@ def test_simhash_and_lines(spark, docs, texts, empty):
     assert cut[12]["n_removed"] == 1 and cut[16]["n_removed"] == 1 and cut[16]["text"] == texts[16].split("\n")[1]
     assert cut[4]["text"] is None and cut[7]["n_removed"] == cut[8]["n_removed"] == 0
     assert line_dedup.dedup_lines(empty).count() == 0 and set(docs.columns) <= set(line_dedup.dedup_lines(docs).columns)
-    for n in (5, 254, 255, 256, 300):
+    for n in (5, 62, 63, 64, 254, 255, 256, 300):
         hashes = [random.Random(n).getrandbits(64) - (1 << 63) for _ in range(1)] + [random.Random(n * 1000 + i).getrandbits(64) - (1 << 63) for i in range(n - 1)]
         got = spark.createDataFrame([(hashes,)], "h array<bigint>").select(line_dedup.simhash(F.col("h"), F.size("h")).alias("s")).first()["s"]
-        width, lanes = (9, 7) if n < 256 else (21, 3)
+        width, lanes = (7, 9) if n < 64 else (9, 7) if n < 256 else (21, 3)
         want = 0
         for j in range(lanes):
             for k in range(width):
