@@ -10,8 +10,8 @@ Count tables are partitioned by hash, and the pairs of all documents are dealt
 to those partitions, packed: (second word, first word) with their documents go
 to the bucket of the second word, where both its count and the pair's are
 known. What still needs the count of the first word goes on to that word's
-bucket. Words with more than a thousandth of all occurrences (so at most a
-thousand words) are known everywhere, and their pairs are dealt by both words,
+bucket. Words with one in FREQUENT of all occurrences (so at most FREQUENT
+words) are known everywhere, and their pairs are dealt by both words,
 so no bucket depends on one frequent word.
 """
 
@@ -32,7 +32,7 @@ BACKOFF = 0.4
 #: Occurrences of a pair before it is in the table.
 LEAST_PAIRS = 2
 #: Words with at least one in this many occurrences are frequent.
-FREQUENT = 1000
+FREQUENT = 4000
 BUCKETS = 32
 
 #: Words are told apart by so many bits of their hash.
