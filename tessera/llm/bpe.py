@@ -16,6 +16,7 @@ and not of the data.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ from tessera.llm.arrow_text import as_text, slices
 
 #: Words whose encoding a worker remembers; the table is emptied when full.
 WORD_CACHE = 200_000
+#: Symbols from which a word is merged by way of a heap.
+LONG_WORD = 48
 _ASIDE = {"n_tokens", "ids"}
 
 
@@ -73,6 +76,8 @@ class BpeModel:
     def merge(self, symbols: list[str]) -> list[str]:
         """Exact BPE of a list of symbols: the lowest-ranked pair first, the leftmost of equals."""
         rank = self.rank
+        if len(symbols) > LONG_WORD:
+            return self._merge_long(symbols)
         while len(symbols) > 1:
             best, at = min((rank.get(p, 1 << 30), k) for k, p in enumerate(zip(symbols, symbols[1:], strict=False)))
             if best == 1 << 30:
@@ -80,6 +85,25 @@ class BpeModel:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
+    def _merge_long(self, symbols: list) -> list[str]:
+        """The same over a linked list and a heap of (rank, place), so that a long word costs little more than its length."""
+        rank, n = self.rank, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank[p], k) for k, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in rank]
+        heapq.heapify(heap)
+        while heap:
+            best, k = heapq.heappop(heap)
+            j = after[k]
+            if symbols[k] is None or j >= n or rank.get((symbols[k], symbols[j])) != best:
+                continue  # one of the two has been merged since
+            symbols[k], symbols[j], after[k] = symbols[k] + symbols[j], None, after[j]
+            if after[k] < n:
+                before[after[k]] = k
+            for left in (before[k], k):
+                if left >= 0 and after[left] < n and (pair := (symbols[left], symbols[after[left]])) in rank:
+                    heapq.heappush(heap, (rank[pair], left))
+        return [s for s in symbols if s is not None]
+
     def symbols(self, text: str, final: bool) -> list[str]:
         letters = list(text)
         if final and letters:

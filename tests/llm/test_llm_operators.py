@@ -221,6 +221,7 @@ def test_bpe_equals_the_library(spark, docs, texts, empty):
     model = bpe.BpeModel(open(path, encoding="utf-8").read())
     r = random.Random(1)
     hard = ["a<|endoftext|>b", "don't WE'RE Σίσυφος ΟΔΟΣ é ﬁ \x1c\x85 1２3 日本 🎉!!"] + ["".join(r.choices("abcdefghijklmnoprstuvwyz'1 .é", k=40)) for _ in range(2000)]
+    hard += ["".join(r.choices("abcdehinorst", k=k)) for k in (47, 48, 49, 50, 500, 20000)] + ["ab" * 3000, "a" * 5000]
     assert [x.tolist() for x in model.encode(hard)] == [e.ids for e in library.encode_batch(hard, add_special_tokens=False)]
     assert bpe.digests(empty, path).count() == 0
 
