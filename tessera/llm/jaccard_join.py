@@ -165,7 +165,7 @@ def count_features(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = docs.select("doc_id", "text").mapInArrow(lambda it: _pack(map(_feature_sets, slices(it)), buckets), _PACKED)
-    counted = packed.repartition(buckets, "bucket").mapInArrow(_count_shared, _COUNTED)
+    counted = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_count_shared, _COUNTED)
     best = F.max(F.struct("n", "h1", "h2")).alias("best")
     return counted.groupBy("doc_id").agg(best, F.sum("shared").alias("shared")).select("doc_id", "best.n", "best.h1", "best.h2", "shared")
 
@@ -397,7 +397,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     sets = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").mapInArrow(_packed_sets, "doc_id bigint, n bigint, h1 bigint, h2 bigint, data binary")
     sets = materialize(sets.join(chosen, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "data"), "jaccard-sets")
     buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = sets.select("doc_id", "data").mapInArrow(_deal_features(buckets), _PACKED).repartition(buckets, "bucket").mapInArrow(_return_shared, "doc_id bigint, data binary")
+    dealt = sets.select("doc_id", "data").mapInArrow(_deal_features(buckets), _PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(_return_shared, "doc_id bigint, data binary")
     pieces = dealt.groupBy("doc_id").agg(F.collect_list("data").alias("pieces"), F.sum(F.length("data") / 8).alias("s"))
     near = sets.select("doc_id", "n").join(pieces, "doc_id").where("100 * s >= 75 * n").select("doc_id", "n", "pieces")
     signed = materialize(near.mapInArrow(_sign, "doc_id bigint, n bigint, s bigint, data binary, sigs array<bigint>"), "jaccard-signed")
