@@ -66,7 +66,8 @@ class BpeModel:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # code points that this regex module counts as letters, but that its Unicode tables' older versions do not have
         assigned = regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000))
-        self.newer = regex.compile("[" + "".join(c for c in assigned if unicodedata.category(c) == "Cn") + "]" if any(unicodedata.category(c) == "Cn" for c in assigned) else r"(?!)")
+        self.newer = frozenset(c for c in assigned if unicodedata.category(c) == "Cn")
+        self.unassigned = dict.fromkeys(map(ord, self.newer), "\u0378")
         self.byte_map = {chr(b): c for b, c in byte_alphabet().items()}
         self.table = str.maketrans(self.byte_map)
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -176,8 +177,8 @@ class BpeModel:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lowering is by character: no final sigma
         text = text.lower()
-        if not text.isascii() and self.newer.search(text):
-            shadow = self.newer.sub("\u0378", text)
+        if not text.isascii() and not self.newer.isdisjoint(text):
+            shadow = text.translate(self.unassigned)
             return [text[m.start() : m.end()] for m in self.words.finditer(shadow)]
         return self.words.findall(text)
 
