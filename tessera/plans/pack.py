@@ -114,7 +114,7 @@ SQL: dict[str, str | tuple[str, str | None]] = {
     "g1_sum_by_one": "select l_returnflag, cast(sum(l_linenumber) as bigint) as v from lineitem group by l_returnflag",
     "g2_sum_by_two": "select l_returnflag, l_suppkey, cast(sum(l_linenumber) as bigint) as v from lineitem group by l_returnflag, l_suppkey",
     "g3_sum_mean": "select l_partkey, cast(sum(l_linenumber) as bigint) as v1, round(avg(l_quantity), 6) as v3 from lineitem group by l_partkey",
-    "g4_means": "select l_suppkey, round(avg(l_linenumber), 6) as v1, round(avg(l_quantity), 6) as v2 from lineitem group by l_suppkey",
+    "g4_means": "select l_suppkey, cast(sum(l_linenumber) as double) / count(l_linenumber) as v1, cast(sum(l_quantity) as double) / count(l_quantity) as v2 from lineitem group by l_suppkey",
     "g5_sums": "select l_orderkey, cast(sum(l_linenumber) as bigint) as v1, cast(sum(l_quantity) as double) as v2 from lineitem group by l_orderkey",
     "g6_median_sd": "select l_returnflag, l_linestatus, median(l_quantity) as med, round(stddev(l_quantity), 6) as sd from lineitem group by l_returnflag, l_linestatus",
     "g7_range": "select l_partkey, max(l_linenumber) - min(l_linenumber) as range_v from lineitem group by l_partkey",
