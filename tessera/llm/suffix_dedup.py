@@ -107,14 +107,14 @@ def _triggers(data: np.ndarray, windows: np.ndarray) -> tuple[Hashes, np.ndarray
 
 def _parse(keys: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(key, position, trigger, surroundings) of the triggers of documents, a piece of text at a time."""
-    batch: list[tuple[int, int, int, int]] = []  # document, begin and end of its bytes here, bytes of it before them
+    batch: list[tuple[int, int, int, int, int]] = []  # document, begin and end of its bytes here, begin and end of those whose triggers are given here
     size = 0
 
     def parse():
-        data = np.frombuffer(b"".join(texts[d][b:e] for d, b, e, _ in batch), np.uint8)
+        data = np.frombuffer(b"".join(texts[d][b:e] for d, b, e, *_ in batch), np.uint8)
         if len(data) < LENGTH:
             return
-        edge = np.concatenate(([0], np.cumsum([e - b for _, b, e, _ in batch])))
+        edge = np.concatenate(([0], np.cumsum([e - b for _, b, e, *_ in batch])))
         marks = np.zeros(len(data) + 1, np.int32)
         for i in range(len(batch)):
             if edge[i + 1] - edge[i] >= LENGTH:
@@ -128,8 +128,9 @@ def _parse(keys: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, n
         total = np.array([len(texts[x[0]]) for x in batch])[piece]
         position = at + shift
         left, right = np.minimum(position, TRIGGER), np.minimum(total - position, LENGTH)
-        inside = (at - left >= edge[piece]) & (at + right <= edge[piece + 1])  # else another piece has all of it
-        at, position, left, right, doc, trigger = (x[inside] for x in (at, position, left, right, doc, trigger))
+        own_begin, own_end = (np.array([x[i] for x in batch])[piece] for i in (3, 4))
+        own = (position >= own_begin) & (position < own_end)  # else another piece gives it; the overlap holds all of its surroundings here
+        at, position, left, right, doc, trigger = (x[own] for x in (at, position, left, right, doc, trigger))
         around = mix(hashes.of(at - left, at + right) + (left * 1024 + right).astype(np.uint64))
         yield keys[doc], position, trigger, around
 
@@ -139,7 +140,7 @@ def _parse(keys: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, n
             if len(text) < LENGTH:
                 break
             b, e = max(0, begin - 2 * LENGTH), min(len(text), begin + step + 2 * LENGTH)
-            batch.append((d, b, e, begin))
+            batch.append((d, b, e, begin, begin + step))
             size += e - b
             if size >= PIECE:
                 yield from parse()

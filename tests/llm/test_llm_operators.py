@@ -259,6 +259,33 @@ def test_suffix_pieces(monkeypatch):
     assert pieces == whole
 
 
+def test_suffix_pieces_give_each_trigger_once(monkeypatch):
+    text = prose(41, 4000).encode()
+    rows = lambda: sorted((int(p), int(t), int(c)) for x in suffix_dedup._parse(np.array([1]), [text]) for p, t, c in zip(*x[1:], strict=True))
+    whole = rows()
+    monkeypatch.setattr(suffix_dedup, "PIECE", 3000)
+    assert rows() == whole
+
+
+def test_suffix_dedup_of_several_pieces(spark):
+    """Text around the cuts between pieces stays if it occurs once, and goes if it does not."""
+    long = prose(43, 440_000).encode()
+    cut = suffix_dedup.PIECE
+    assert len(long) > 2 * cut
+    data = {1: long, 2: prose(44, 60).encode() + long[cut - 150 : cut + 350] + prose(45, 60).encode(), 3: prose(46, 200).encode()}
+    seen = Counter(hash(b[k : k + 200]) for b in data.values() for k in range(len(b) - 199))
+    rows = spark.createDataFrame([(i, b.decode()) for i, b in data.items()], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(rows).collect()}
+    for i, b in data.items():
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if seen[hash(b[k : k + 200])] > 1:
+                gone[k : k + 200] = True
+        runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        assert (got[i]["n_removed"], got[i]["n_spans"]) == (int(gone.sum()), runs), i
+        assert (b if got[i]["kept"] is None else bytes(got[i]["kept"])) == np.frombuffer(b, np.uint8)[~gone].tobytes()
+
+
 def test_lm_scores(docs, texts, empty):
     import math
 
