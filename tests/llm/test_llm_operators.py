@@ -146,6 +146,12 @@ def test_near_lines_are_linked(spark):
     assert cut == {1: 0, 2: 1, 3: 0}
 
 
+def test_short_lines_repeat_exactly(spark):
+    rows = [(1, "Read more\n\n东京是日本的首都。\n---"), (2, "  Read more\r\n\nread more\n---"), (3, "东京是日本的首都。\nmenu\nmenu")]
+    cut = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert cut == {1: (rows[0][1], 0), 2: ("\nread more\n---", 1), 3: ("menu", 2)}
+
+
 def test_decontamination(spark, empty):
     item = prose(31, 60)
     edited = item[:40] + item[42:100] + "qq" + item[100:]
