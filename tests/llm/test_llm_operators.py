@@ -146,6 +146,35 @@ def test_near_lines_are_linked(spark):
     assert cut == {1: 0, 2: 1, 3: 0}
 
 
+def test_recall_of_near_lines(spark):
+    """Pairs within the edit budget that meet in a bucket, by words of a line and kind of edit; the edit distance decides which pairs count."""
+    r, rows = random.Random(51), []
+    for n in (5, 10, 20, 30, 50):
+        for k in range(100):
+            words = prose(r.random(), n).split()
+            line, at = " ".join(words), r.randrange(n)
+            typo = " ".join([*words[:at], "q" + words[at][1:], *words[at + 1 :]])
+            swap = " ".join([*words[:at], "z" * len(words[at]), *words[at + 1 :]])
+            edited = list(line)
+            for i in r.sample([i for i, c in enumerate(line) if c != " "], len(line) // 10):
+                edited[i] = "q"
+            rows += [(n, "typo", line, typo), (n, "word", line, swap), (n, "all", line, "".join(edited))]
+    pairs = spark.createDataFrame(rows, "n int, kind string, a string, b string")
+    words = [line_dedup.normalized_words(F.col(c)) for c in ("a", "b")]
+    met = F.arrays_overlap(*[line_dedup.sketch_keys(line_dedup.sketch(w)) for w in words])
+    links = pairs.where(F.levenshtein("a", "b") * 100 <= F.greatest(F.length("a"), F.length("b")) * line_dedup.EDITS)
+    recall = {(x["n"], x["kind"]): x["r"] for x in links.select("n", "kind", met.cast("int").alias("m")).groupBy("n", "kind").agg(F.avg("m").alias("r")).collect()}
+    print("recall", sorted(recall.items()))
+    assert all(x == 1 for (_, kind), x in recall.items() if kind != "all") and min(recall.values()) >= 0.3
+
+
+def test_one_changed_word_is_linked(spark):
+    words = prose(52, 12).split()
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:5], words[5][0] + "q" + words[5][1:], *words[6:]]))]
+    cut = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert cut == {1: 0, 2: 1}
+
+
 def test_short_lines_repeat_exactly(spark):
     rows = [(1, "Read more\n\n东京是日本的首都。\n---"), (2, "  Read more\r\n\nread more\n---"), (3, "东京是日本的首都。\nmenu\nmenu")]
     cut = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
