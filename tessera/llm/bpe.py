@@ -32,6 +32,8 @@ from tessera.llm.arrow_text import as_text, slices
 
 #: Words whose encoding a worker remembers; the table is emptied when full.
 WORD_CACHE = 200_000
+#: Pairs whose verdicts a worker remembers; the table begins anew when full.
+PAIR_TABLE = 1_000_000
 #: Symbols from which a word is merged by way of a heap.
 LONG_WORD = 48
 _ASIDE = {"n_tokens", "ids"}
@@ -146,10 +148,11 @@ class BpeModel:
         """The verdict on each pair code; new codes are decided once and remembered."""
         new = np.setdiff1d(pairs, self.pairs)
         if len(new):
-            known = np.concatenate((self.pairs, new))
-            verdicts = np.concatenate((self.verdicts, np.fromiter((self.compatible(int(p)) for p in new), bool, len(new))))
-            order = np.argsort(known)
-            self.pairs, self.verdicts = known[order], verdicts[order]
+            if len(self.pairs) + len(new) > PAIR_TABLE:
+                self.pairs, self.verdicts, new = self.pairs[:0], self.verdicts[:0], np.unique(pairs)
+            at = np.searchsorted(self.pairs, new)
+            verdicts = np.fromiter((self.compatible(int(p)) for p in new), bool, len(new))
+            self.pairs, self.verdicts = np.insert(self.pairs, at, new), np.insert(self.verdicts, at, verdicts)
         return self.verdicts[np.searchsorted(self.pairs, pairs)]
 
     def learn(self, words: list[str]) -> None:

@@ -99,7 +99,7 @@ FLUSH_BYTES = 8 << 20
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Assemble sorted turns; the last conversation of a batch waits for the next."""
     waiting: list[pa.Table] = []
-    size = 0
+    size, first = 0, None
 
     def flush(table: pa.Table) -> pa.RecordBatch:
         ids = table.column("conv_id").combine_chunks().to_numpy(zero_copy_only=False)
@@ -111,16 +111,17 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
+        first = batch.column("conv_id")[0].as_py() if not waiting else first
         waiting.append(pa.Table.from_batches([batch]))
         size += batch.nbytes
-        if size >= FLUSH_BYTES:
+        if size >= FLUSH_BYTES and batch.column("conv_id")[batch.num_rows - 1].as_py() != first:
             table = pa.concat_tables(waiting)
             ids = table.column("conv_id").to_numpy()
             cut = int(np.searchsorted(-(ids != ids[-1]).astype(np.int8), 0)) if len(ids) else 0
             if cut:
                 yield flush(table.slice(0, cut).combine_chunks())
                 waiting = [table.slice(cut)]
-                size = waiting[0].nbytes
+                size, first = waiting[0].nbytes, ids[-1]
     if waiting:
         yield flush(pa.concat_tables(waiting).combine_chunks())
 
@@ -139,7 +140,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return dealt.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text").mapInArrow(_format, _FORMATTED)
 
 
-_TURN = re.compile(r"<\|((?:\\.|[^\\|])*)\|>\n((?:\\.|[^\\<]|<(?!/turn>))*)</turn>\n", re.DOTALL)
+# possessive, so that nothing is kept to go back to in a long text
+_TURN = re.compile(r"<\|((?:[^\\|]++|\\.)*+)\|>\n((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.DOTALL)
 
 
 def parse(formatted: bytes) -> list[tuple[str, str]]:

@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +36,13 @@ LENGTH = 64
 STEP = 8
 #: Edits allowed in a hundred bytes.
 RATE = 8
-#: Items with fewer normalised bytes could match ordinary prose; they are not looked for.
+#: Items with fewer normalised bytes could match ordinary prose by edits; they are looked for as they stand, between blanks.
 LEAST = 32
+#: Shared grams that are expanded at once, and the bytes of text by which slices of them overlap.
+HITS = 200_000
+OVERLAP = 4 * LENGTH
+#: Distances remembered for one text.
+KNOWN = 100_000
 #: Bytes of items in one block.
 BLOCK_BYTES = 2 << 20
 
@@ -75,9 +81,20 @@ class GramIndex:
     filter: np.ndarray
     ids: list[int]
     texts: list[bytes]
+    whole: ahocorasick.Automaton | None
 
     @staticmethod
-    def build(items: list[tuple[int, bytes]]) -> GramIndex:
+    def build(all_items: list[tuple[int, bytes]]) -> GramIndex:
+        items = [x for x in all_items if len(x[1]) >= LEAST]
+        short: dict[bytes, list[int]] = {}
+        for item_id, text in all_items:
+            if 0 < len(text) < LEAST:
+                short.setdefault(text, []).append(item_id)
+        whole = ahocorasick.Automaton() if short else None
+        for text, ids in short.items():
+            whole.add_word(f" {text.decode('latin-1')} ", (ids, len(text)))
+        if whole is not None:
+            whole.make_automaton()
         parts = [_grams(np.frombuffer(t, np.uint8)) for _, t in items]
         grams = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(items)), [len(p) for p in parts])
@@ -85,19 +102,29 @@ class GramIndex:
         order = np.argsort(grams, kind="stable")
         present = np.zeros(1 << _FILTER_BITS, bool)
         present[_slot(grams)] = True
-        return GramIndex(grams[order], item[order], offset[order], present, [i for i, _ in items], [t for _, t in items])
+        return GramIndex(grams[order], item[order], offset[order], present, [i for i, _ in items], [t for _, t in items], whole)
 
-    def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in the text, item, offset in the item) of all shared q-grams."""
+    def hits(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(position in the text, item, offset in the item) of all shared q-grams, for slices of the text with about HITS of them.
+
+        Slices overlap by what a window and its edits reach, so each window's hits are in one slice.
+        """
         grams = _grams(text)
         at = np.flatnonzero(self.filter[_slot(grams)])
         low = np.searchsorted(self.grams, grams[at], "left")
         count = np.searchsorted(self.grams, grams[at], "right") - low
         some = count > 0
         at, low, count = at[some], low[some], count[some]
-        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        where = np.repeat(low, count) + nth
-        return np.repeat(at, count), self.item[where], self.offset[where]
+        so_far = np.concatenate(([0], np.cumsum(count)))
+        begin = 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(so_far, so_far[begin] + HITS, "right")) - 1)
+            reach = int(np.searchsorted(at, at[end - 1] + OVERLAP, "right"))
+            a, lo, c = at[begin:reach], low[begin:reach], count[begin:reach]
+            nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            where = np.repeat(lo, c) + nth
+            yield np.repeat(a, c), self.item[where], self.offset[where]
+            begin = end
 
 
 def band_distance(a: bytes, b: bytes, band: int, most: int) -> int:
@@ -148,45 +175,72 @@ def _regions(pos: np.ndarray, item: np.ndarray, offset: np.ndarray, index: GramI
 
 def _dense(item, band, offset, need, window, diagonal) -> list[tuple[int, int, int, int]]:
     """Bands with ``need`` hits inside one window."""
-    found = []
-    if len(item):
-        order = np.lexsort((offset, band, item))
-        o_item, o_band, o_off, o_need, o_win, o_diag = item[order], band[order], offset[order], need[order], window[order], diagonal[order]
-        group = np.concatenate(([0], np.cumsum((o_item[1:] != o_item[:-1]) | (o_band[1:] != o_band[:-1])))) if len(order) else np.zeros(0, np.int64)
-        # hit k and the hit need-1 places on: do they belong to one band and one window?
-        k = np.arange(len(group))
-        to = k + o_need - 1
-        ok = to < len(group)
-        ok[ok] = (group[to[ok]] == group[k[ok]]) & (o_off[to[ok]] - o_off[k[ok]] <= o_win[k[ok]] - Q)
-        for g in np.unique(group[ok]):
-            at = k[ok & (group == g)]
-            found.append((int(o_item[at[0]]), int(np.median(o_diag[at])), int(o_off[at].min()), int(o_off[to[at]].max())))
-    return found
+    if not len(item):
+        return []
+    order = np.lexsort((offset, band, item))
+    item, band, offset, need, window, diagonal = (x[order] for x in (item, band, offset, need, window, diagonal))
+    start = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (band[1:] != band[:-1]))))
+    size = np.diff(np.concatenate((start, [len(item)])))
+    group = np.repeat(np.arange(len(start)), size)
+    # hit k and the hit need-1 places on: do they belong to one band and one window?
+    k = np.arange(len(group))
+    to = np.minimum(k + need - 1, len(group) - 1)
+    ok = (k + need - 1 < len(group)) & (group[to] == group) & (offset[to] - offset <= window - Q)
+    big = np.iinfo(np.int64).max
+    first = np.minimum.reduceat(np.where(ok, offset, big), start)
+    last = np.maximum.reduceat(np.where(ok, offset[to], -1), start)
+    hit = np.flatnonzero(last >= 0)
+    middle = start[hit] + size[hit] // 2
+    return list(zip(item[start[hit]].tolist(), diagonal[middle].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True))
+
+
+def _verify(text: bytes, pattern: bytes, diagonal: int, first: int, last: int, known: dict) -> int | None:
+    """The edits of the first window of an item that is within its budget on a band, or None.
+
+    The windows are those that can hold the band's hits, which may lie off both ends of the outermost ones by what the edits can destroy.
+    """
+    window = min(len(pattern), LENGTH)
+    edits = edits_allowed(window)
+    slack = Q * edits
+    end = len(pattern) - window
+    low = min(end, max(0, first - slack))
+    top = max(low, min(end, last + Q - window + slack))
+    likely = max(low, min(end, first))
+    tried = sorted({*range(low - low % STEP, top + 1, STEP), *([end] if top + STEP > end else [])}, key=lambda at: abs(at - likely))
+    for at in tried:
+        piece = pattern[at : at + window]
+        start = at + diagonal
+        region = text[max(0, start - 2 * edits) : max(0, start + window + 2 * edits)]
+        distance = known.get((piece, region))
+        if distance is None:
+            distance = 0 if piece in region else band_distance(piece, region, 2 * edits, edits)
+            if len(known) < KNOWN:
+                known[piece, region] = distance
+        if distance <= edits:
+            return distance
+    return None
 
 
 def leaks_in(text: bytes, index: GramIndex) -> list[tuple[int, int, int, int]]:
-    """(item id, start, end, edits) of the best verified region of each item in a normalised text."""
+    """(item id, start, end, edits) of the best verified region of each item in a normalised text: the fewest edits, then the first."""
     data = np.frombuffer(text, np.uint8)
-    best: dict[int, tuple[int, int, int, int]] = {}
-    for item, diagonal, first, last in _regions(*index.hits(data), index):
-        pattern = index.texts[item]
-        window = min(len(pattern), LENGTH)
-        edits = edits_allowed(window)
-        # the windows of the item over the stretch that holds the hits
-        top = max(0, min(last + Q, len(pattern)) - window)
-        low = max(0, min(first, len(pattern) - window))
-        for at in sorted({*range(low - low % STEP, top + 1, STEP), len(pattern) - window}):
-            piece = pattern[at : at + window]
-            start = at + diagonal
-            region = text[max(0, start - 2 * edits) : max(0, start + window + 2 * edits)]
-            distance = 0 if piece in region else band_distance(piece, region, 2 * edits, edits)
-            if distance <= edits:
-                seen = best.get(item)
-                span = (max(0, first + diagonal), min(len(text), last + Q + diagonal))
-                if seen is None or distance < seen[3]:
-                    best[item] = (index.ids[item], *span, distance)
-                break
-    return sorted(best.values())
+    best: dict[int, tuple[int, int, int]] = {}
+    known: dict[tuple[bytes, bytes], int] = {}  # repetitive texts show the same regions over and over
+    for hits in index.hits(data):
+        for item, diagonal, first, last in sorted(_regions(*hits, index), key=lambda r: r[1] + r[2]):
+            if item in best and best[item][0] == 0:
+                continue
+            distance = _verify(text, index.texts[item], diagonal, first, last, known)
+            if distance is not None and (item not in best or distance < best[item][0]):
+                best[item] = (distance, max(0, first + diagonal), min(len(text), last + Q + diagonal))
+    found = [(index.ids[item], start, end, edits) for item, (edits, start, end) in best.items()]
+    if index.whole is not None:
+        seen: dict[int, tuple[int, int, int, int]] = {}
+        for end, (ids, size) in index.whole.iter(f" {text.decode('latin-1')} "):
+            for i in ids:
+                seen.setdefault(i, (i, end - 1 - size, end - 1, 0))
+        found += seen.values()
+    return sorted(found)
 
 
 _LEAKS = "doc_id bigint, item_id bigint, start bigint, end bigint, edits bigint"
@@ -213,7 +267,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         text = normalize(row["text"] or "")
         for at in range(0, max(1, len(text) - LENGTH), BLOCK_BYTES):
             piece = text[at : at + BLOCK_BYTES + LENGTH]
-            if len(piece) >= LEAST:
+            if piece:
                 block.append((row["item_id"], piece))
                 size += len(piece)
         if size >= BLOCK_BYTES:
@@ -227,8 +281,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, edits): the items that each document holds.
 
     ``start`` and ``end`` bound the matching stretch in bytes of the normalised
-    text; ``edits`` is the distance of the first window that verifies. Null
-    texts are empty; items without ``item_id`` are not looked for. Rows that
+    text; ``edits`` is the distance of a window there, of several stretches the
+    least, and of ties the first. An item of fewer than LEAST bytes is found
+    only as it stands, between blanks, an empty one never. Null texts are empty; items without ``item_id`` are not looked for. Rows that
     share a ``doc_id``, and items that share an ``item_id``, give one row with
     the fewest edits. Other columns are ignored; if either table is empty, so
     is the result.

@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrow_text import ODD, as_text, distinct_per_document, mix, shingle_hashes, slices, words_of
 from tessera.llm.components import connected_components
-from tessera.llm.storage import materialize
+from tessera.llm.storage import bucket_count, materialize
 
 SHINGLE = 5
-#: Buckets that feature hashes are dealt to, at least; more where the session has more shuffle partitions.
+#: Buckets that feature hashes are dealt to, at least; more for large tables, and where the session has more shuffle partitions.
 BUCKETS = 64
 
 _PACKED = "kind int, bucket int, docs array<bigint>, counts array<int>, data binary"
@@ -162,8 +162,7 @@ def count_features(docs: DataFrame) -> DataFrame:
 
     ``shared`` may be too large (by chance, or for repeated rows), never too small.
     """
-    spark = docs.sparkSession
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = bucket_count(docs, BUCKETS)
     packed = docs.select("doc_id", "text").mapInArrow(lambda it: _pack(map(_feature_sets, slices(it)), buckets), _PACKED)
     counted = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_count_shared, _COUNTED)
     best = F.max(F.struct("n", "h1", "h2")).alias("best")
@@ -181,7 +180,12 @@ def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _deal_features(buckets: int):
-    """Features of sets as (bucket, docs, counts, data) with whole hashes."""
+    """Features of sets as (kind, bucket, docs, counts, data) with whole hashes.
+
+    Those that several sets of a batch have are known to be shared, however many
+    sets in however many batches have them: the sets get them back at once (kind
+    0, in buckets by set), and their bucket learns of each once a batch (kind 2).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,31 +193,48 @@ def _deal_features(buckets: int):
             sets = [np.frombuffer(x, np.uint64) for x in batch.column("data").to_pylist()]
             own = np.repeat(np.arange(len(ids)), [len(s) for s in sets])
             values = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            b = ((values >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(b, kind="stable")
-            cuts = np.searchsorted(b[by], np.arange(buckets + 1))
+            order, same = _repeated(values)
+            common, single = np.sort(order[same]), np.sort(order[~same])
             rows = []
-            for k in range(buckets):
-                part = by[cuts[k] : cuts[k + 1]]
-                if len(part):
-                    at, length = _runs(own[part])
-                    rows.append((k, ids[own[part][at]], length.astype(np.int32), values[part].tobytes()))
+            by_value = ((values >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            by_set = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[own]
+            sure = common[np.unique(values[common], return_index=True)[1]]
+            for kind, chosen, b in ((0, common, by_set), (1, single, by_value), (2, sure, by_value)):
+                by = chosen[np.argsort(b[chosen], kind="stable")]
+                cuts = np.searchsorted(b[by], np.arange(buckets + 1))
+                for k in range(buckets):
+                    part = by[cuts[k] : cuts[k + 1]]
+                    if len(part):
+                        at, length = _runs(own[part]) if kind < 2 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                        rows.append((kind, k, ids[own[part][at]], length.astype(np.int32), values[part].tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([1] * len(rows), pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()), strict=True))], schema=_BATCH)
+                kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], schema=_BATCH)
 
     return run
 
 
 def _return_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, data): the features of one bucket that more than one set has, by document."""
-    keys, docs = [], []
+    keys, docs, sure = [], [], []
     for batch in batches:
-        for ids, counts, data in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
-            keys.append(np.frombuffer(data.as_py(), np.uint64))
-            docs.append(np.repeat(ids.values.to_numpy(), counts.values.to_numpy()))
+        for kind, ids, counts, data in zip(*(batch.column(i) for i in (0, 2, 3, 4)), strict=True):
+            values, kind = np.frombuffer(data.as_py(), np.uint64), kind.as_py()
+            if kind == 2:
+                sure.append(values)
+                continue
+            ids, counts = ids.values.to_numpy(), counts.values.to_numpy()
+            if kind == 0:
+                ends = np.cumsum(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([values[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], pa.binary())], names=["doc_id", "data"])
+            else:
+                keys.append(values)
+                docs.append(np.repeat(ids, counts))
     if keys:
         key, doc = np.concatenate(keys), np.concatenate(docs)
         order, same = _repeated(key)
+        if sure:
+            same |= np.isin(key[order], np.unique(np.concatenate(sure)))
         key, doc = key[order[same]], doc[order[same]]
         by = np.argsort(doc, kind="stable")
         key, doc = key[by], doc[by]
@@ -363,8 +384,10 @@ def _cluster_links(many: DataFrame, sets: DataFrame) -> DataFrame:
     placed = members.join(total, "c").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     fields = F.collect_list(F.struct("doc_id", "g", "n", "data"))
     other = placed.groupBy("c", "block").agg(fields.alias("other"))
-    minor = placed.where("g <> largest AND 100 * s >= 75 * n").groupBy("c", "block").agg(fields.alias("minor"))
-    pairs = minor.select("c", "minor").join(other.select("c", "other"), "c")
+    minor = placed.where("g <> largest AND 100 * s >= 75 * n").groupBy("c", "block", "blocks").agg(fields.alias("minor"))
+    # no task has all pairs of a cluster: they are dealt by both of their blocks in turn
+    to = minor.select("c", F.col("block").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    pairs = to.join(other, ["c", "block"]).join(minor.select("c", F.col("block").alias("of"), "minor"), ["c", "of"])
     return pairs.select("minor", "other").mapInArrow(_block_links, "a bigint, b bigint")
 
 
@@ -396,7 +419,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     chosen = classes.where("n >= 3 AND 100 * shared >= 75 * n").select(F.col("rep").alias("doc_id"), "h1", "h2")
     sets = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").mapInArrow(_packed_sets, "doc_id bigint, n bigint, h1 bigint, h2 bigint, data binary")
     sets = materialize(sets.join(chosen, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "data"), "jaccard-sets")
-    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = bucket_count(sets, BUCKETS, "data")
     dealt = sets.select("doc_id", "data").mapInArrow(_deal_features(buckets), _PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(_return_shared, "doc_id bigint, data binary")
     pieces = dealt.groupBy("doc_id").agg(F.collect_list("data").alias("pieces"), F.sum(F.length("data") / 8).alias("s"))
     near = sets.select("doc_id", "n").join(pieces, "doc_id").where("100 * s >= 75 * n").select("doc_id", "n", "pieces")

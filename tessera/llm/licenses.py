@@ -45,6 +45,13 @@ TEMPLATES = (
     ("mpl-notice", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("spdx", "spdx license identifier {{4}}"),
     ("reserved", "copyright [[c]] {{12}} all rights reserved"),
+    ("mit-full", "[[the]] [[mit license]] [[mit]] [[copyright [[c]] {{16}}]] permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall [[the]] {{12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc-full", "[[isc license]] [[copyright [[c]] {{16}}]] permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and [[the]] {{6}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall [[the]] {{6}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd-full", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[[[3]] neither the name of [[the]] {{10}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]] this software is provided by [[the]] {{10}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall [[the]] {{10}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("apache-header", "[[copyright {{16}}]] licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[http]] [[https]] {{6}} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-header", "{{8}} is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public license as published by the free software foundation either version {{1}} of the license or [[at your option]] any later version {{8}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu [[lesser]] [[affero]] general public license for more details [[you should have received a copy of the gnu [[lesser]] [[affero]] general public license along with {{6}} if not see {{8}}]]"),
+    ("zlib-full", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 )
 
 #: ASCII other than lower-case letters and digits separates words; A-Z is lowered.
@@ -106,7 +113,7 @@ class Automaton:
         return states
 
     def begins(self) -> set[bytes]:
-        """Words a match can start with."""
+        """Words a match can start with; replaceable words in front are left to the text before it."""
         return {w for s in self.closure({0}) for w, _ in self.steps[s] if w is not None}
 
     def match(self, words: list[bytes], start: int) -> int:
@@ -149,9 +156,10 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, int, str]]:
     found = []
     for phrase, label in PHRASES:
         needle = b" " + phrase.encode() + b" "
-        at = joined.find(needle)
+        at, before, start = joined.find(needle), 0, 0
         while at >= 0:
-            start = joined.count(b" ", 0, at)
+            start += joined.count(b" ", before, at)
+            before = at
             found.append((start, start + phrase.count(" ") + 1, label))
             at = joined.find(needle, at + 1)
     return sorted(found)
@@ -163,7 +171,7 @@ _matcher: list[Matcher] = []
 
 def _row(text: bytes) -> tuple:
     words = words_of_bytes(text)
-    if not any(x in words for x in (b"license", b"licensed", b"licence", b"cc", b"copyright", b"permission", b"redistribution")):
+    if not any(x in words for x in (b"license", b"licensed", b"licence", b"cc", b"copyright", b"permission", b"redistribution", b"unencumbered")):
         return (len(words), 0, None, None, "", "", 0.0)
     if not _matcher:
         _matcher.append(Matcher())
@@ -181,8 +189,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """Words, base phrases and labels of each row's text.
 
     ``score`` is the share of words inside a phrase or an accepted template. A
-    null text has no words; every row is scanned by itself; other columns are
-    ignored.
+    null text has no words; every row is scanned by itself, so repeated rows and
+    rows that share a ``doc_id``, which may be null, each give a row; other
+    columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

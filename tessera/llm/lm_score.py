@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow_text import ODD, as_text, mix, slices, words_of
-from tessera.llm.storage import materialize
+from tessera.llm.storage import bucket_count, materialize
 
 BACKOFF = 0.4
 #: Occurrences of a pair before it is in the table.
@@ -35,8 +35,6 @@ LEAST_PAIRS = 2
 FREQUENT = 4000
 BUCKETS = 32
 
-#: Words are told apart by so many bits of their hash.
-_BITS = np.uint64((1 << 40) - 1)
 _PACKED = "bucket int, docs array<bigint>, counts array<int>, data binary"
 _NAMES = ["bucket", "docs", "counts", "data"]
 
@@ -44,7 +42,7 @@ _NAMES = ["bucket", "docs", "counts", "data"]
 def _word_ids(batch: pa.RecordBatch):
     words = words_of(as_text(batch.column("text")), lower=True)
     # 0 stands for no word
-    return words, np.maximum(words.hashes() & _BITS, np.uint64(1))
+    return words, np.maximum(words.hashes(), np.uint64(1))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -54,24 +52,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             words, ids = _word_ids(batch)
             counts = np.bincount(words.ids, minlength=len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(counts)], names=["word", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(counts)], names=["word", "c"])
 
     return docs.select("text").mapInArrow(run, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _five(x: np.ndarray) -> bytes:
-    """40-bit numbers as five bytes each."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _from_five(data: bytes, n: int, skip: int = 0) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8, 5 * n, skip).reshape(n, 5)
-    return out.view("<u8").ravel()
-
-
 def _packed_rows(bucket: np.ndarray, doc: np.ndarray, buckets: int, word: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket: its documents, the lengths of runs of one word, and in ``data`` the runs' words, each element's document (by number) and its other words."""
+    """One row per bucket: its documents, the lengths of runs of one word, and in ``data`` the runs' words, each element's document (by number) and its other words.
+
+    Other words are numbers too, of the distinct ones in the row; how many these are stands first.
+    """
     order = np.lexsort((word, bucket))
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     rows = []
@@ -81,7 +71,9 @@ def _packed_rows(bucket: np.ndarray, doc: np.ndarray, buckets: int, word: np.nda
             ids, number = np.unique(doc[part], return_inverse=True)
             at = np.concatenate(([0], np.flatnonzero(np.diff(word[part])) + 1))
             runs = np.diff(np.concatenate((at, [len(part)])))
-            parts = [_five(word[part[at]]), number.astype(_numbers(len(ids))).tobytes(), *(_five(c[part]) for c in others)]
+            told = [np.unique(c[part], return_inverse=True) for c in others]
+            parts = [np.array([len(u) for u, _ in told], np.int64).tobytes(), word[part[at]].tobytes(), number.astype(_numbers(len(ids))).tobytes()]
+            parts += [x for u, i in told for x in (u.tobytes(), i.astype(_numbers(len(u))).tobytes())]
             rows.append((k, ids, runs.astype(np.int32), b"".join(parts)))
     kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
     columns = zip(*rows, strict=True) if rows else [[]] * 4
@@ -89,8 +81,8 @@ def _packed_rows(bucket: np.ndarray, doc: np.ndarray, buckets: int, word: np.nda
 
 
 def _numbers(documents: int) -> type[np.unsignedinteger]:
-    """The type of document numbers in a packed row."""
-    return np.uint16 if documents <= 1 << 16 else np.uint32
+    """The type of numbers of so many things in a packed row."""
+    return np.uint8 if documents <= 1 << 8 else np.uint16 if documents <= 1 << 16 else np.uint32
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray, ...]:
@@ -99,11 +91,20 @@ def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray
     for batch in batches:
         for ids, counts, data in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
             ids, runs, raw = ids.values.to_numpy(), counts.values.to_numpy(), data.as_py()
-            n, kind = int(runs.sum()), np.dtype(_numbers(len(ids)))
-            docs.append(ids[np.frombuffer(raw, kind, n, 5 * len(runs))])
-            columns[0].append(np.repeat(_from_five(raw, len(runs)), runs))
-            for k in range(1, width):
-                columns[k].append(_from_five(raw, n, 5 * len(runs) + kind.itemsize * n + 5 * n * (k - 1)))
+            n, at = int(runs.sum()), 0
+
+            def take(kind: type, count: int) -> np.ndarray:
+                nonlocal at
+                found = np.frombuffer(raw, kind, count, at)
+                at += found.nbytes
+                return found
+
+            sizes = take(np.int64, width - 1)
+            columns[0].append(np.repeat(take(np.uint64, len(runs)), runs))
+            docs.append(ids[take(_numbers(len(ids)), n)])
+            for k, size in enumerate(sizes.tolist(), 1):
+                distinct = take(np.uint64, size)
+                columns[k].append(distinct[take(_numbers(size), n)])
     join = lambda xs, t: np.concatenate([*xs, np.zeros(0, t)])
     return join(docs, np.int64), *(join(c, np.uint64) for c in columns)
 
@@ -193,9 +194,9 @@ def _table_rows(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, c = batch.column("word").to_numpy().astype(np.uint64), batch.column("c").to_numpy()
+            word, c = batch.column("word").to_numpy().view(np.uint64), batch.column("c").to_numpy()
             bucket = (mix(word) % np.uint64(buckets)).astype(np.int64)
-            rows = [(k, c[p], [], _five(word[p])) for k in range(buckets) if len(p := np.flatnonzero(bucket == k))]
+            rows = [(k, c[p], [], word[p].tobytes()) for k in range(buckets) if len(p := np.flatnonzero(bucket == k))]
             kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_NAMES)
@@ -210,7 +211,7 @@ def _divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.array([len(x) == 0 for x in batch.column("counts")])
         for c, data in zip(batch.column("docs").filter(pa.array(table)), batch.column("data").filter(pa.array(table)), strict=True):
             counts.append(c.values.to_numpy())
-            words.append(_from_five(data.as_py(), len(counts[-1])))
+            words.append(np.frombuffer(data.as_py(), np.uint64))
         rest.append(batch.filter(pa.array(~table)))
     doc, first = _unpacked(iter(rest), 1)
     if len(doc):
@@ -233,8 +234,8 @@ def score(docs: DataFrame) -> DataFrame:
     counts = materialize(word_counts(docs), "lm-words")
     total = counts.agg(F.sum("c")).first()[0] or 1
     often = counts.where(F.col("c") * FREQUENT >= total).collect()  # FREQUENT rows at most
-    frequent = spark.sparkContext.broadcast(Frequent([r["word"] for r in often], [r["c"] for r in often], total))
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    frequent = spark.sparkContext.broadcast(Frequent([r["word"] % (1 << 64) for r in often], [r["c"] for r in often], total))
+    buckets = bucket_count(docs, BUCKETS)
     pairs = texts.mapInArrow(_deal_pairs(frequent, buckets), _PACKED).repartitionById(buckets, F.col("bucket"))
     direct = pairs.mapInArrow(_score_pairs(frequent), _SUMS)
     open_ = pairs.mapInArrow(_pass_on(frequent, buckets), _PACKED)

@@ -2,7 +2,8 @@
 
 Each document is measured, the measurements of a (language, source) group are
 gathered into a mergeable quantile sketch, and a document is rejected when a
-measurement lies far above its own group's upper quartile. Groups too small to
+measurement lies far outside what the middle four fifths of its own group show,
+above for all rules and also below for the length of words. Groups too small to
 judge use the merged sketch of their language, and failing that of the corpus.
 
 The sketch is a histogram over buckets of bounded relative width (values below
@@ -29,25 +30,28 @@ from tessera.llm.storage import materialize
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
+VERDICT = ("base_failed", "rules_failed", "kept")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject above ``q75 + reach * max(q75 - q50, least)`` of the group; values are whole numbers."""
+    """Reject above ``q90 + reach * max(q90 - q50, least)`` of the group, and if ``low`` below ``q10 - reach * max(q50 - q10, least)``; values are whole numbers."""
 
     name: str
     value: str
     least: int
     reach: int = 6
+    low: bool = False
 
 
-#: Least spreads keep groups without any variation from rejecting ordinary documents.
+#: Least spreads keep groups in which nine tenths show no variation from rejecting ordinary documents.
 RULES = (
     Rule("symbols", "1000 * n_symbols div greatest(n_words, 1)", 20),
-    Rule("word_length", "1000 * word_chars div greatest(n_words, 1)", 250),
+    Rule("word_length", "1000 * word_chars div greatest(n_words, 1)", 250, reach=5, low=True),
     Rule("dup_lines", "1000 * n_dup_lines div greatest(n_lines, 1)", 70),
     Rule("repeats", "1000 * n_repeat_words div greatest(n_words, 1)", 40),
 )
+LIMITS = [f"limit_{r.name}" for r in RULES] + [f"floor_{r.name}" for r in RULES if r.low]
 #: Documents that a group's own sketch needs.
 LEAST_GROUP = 100
 
@@ -153,22 +157,25 @@ def _merge(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def _fences(sketch: DataFrame, *keys: str) -> DataFrame:
-    """(keys, docs, one upper limit for each rule) of sketches."""
+    """(keys, docs, the limits of each rule) of sketches."""
     window = Window.partitionBy(*keys, "rule").orderBy("bucket")
     so_far = F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("n").over(Window.partitionBy(*keys, "rule"))
     ranked = sketch.select(*keys, "rule", "bucket", so_far.alias("upto"), total.alias("total"))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, bucket_floor(F.col("bucket"))))
-    spread = ranked.groupBy(*keys, "rule").agg(F.max("total").alias("docs"), at(2).alias("q50"), at(3).alias("q75"))
-    limit = lambda r: F.max(F.when(F.col("rule") == r.name, F.col("q75") + r.reach * F.greatest(F.col("q75") - F.col("q50"), F.lit(r.least))))
-    return spread.groupBy(*keys).agg(F.max("docs").alias("docs"), *[limit(r).alias(f"limit_{r.name}") for r in RULES])
+    at = lambda q: F.min(F.when(F.col("upto") * 10 >= F.col("total") * q, bucket_floor(F.col("bucket"))))
+    spread = ranked.groupBy(*keys, "rule").agg(F.max("total").alias("docs"), at(1).alias("q10"), at(5).alias("q50"), at(9).alias("q90"))
+    of_rule = lambda r, x: F.max(F.when(F.col("rule") == r.name, x))
+    high = lambda r: F.col("q90") + r.reach * F.greatest(F.col("q90") - F.col("q50"), F.lit(r.least))
+    low = lambda r: F.col("q10") - r.reach * F.greatest(F.col("q50") - F.col("q10"), F.lit(r.least))
+    limits = [of_rule(r, high(r)).alias(f"limit_{r.name}") for r in RULES] + [of_rule(r, low(r)).alias(f"floor_{r.name}") for r in RULES if r.low]
+    return spread.groupBy(*keys).agg(F.max("docs").alias("docs"), *limits)
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """(lang, source, limit_<rule>...): the limits that hold for each (language, source)."""
+    """(lang, source, limit_<rule>..., floor_<rule>...): the limits that hold for each (language, source)."""
     own = materialize(sketches(measured), "quality-sketches")
     by_lang = _merge(own, "lang")
-    limits = [f"limit_{r.name}" for r in RULES]
+    limits = LIMITS
     group = _fences(own, "lang", "source").alias("g")
     lang = _fences(by_lang, "lang").alias("l")
     whole = _fences(_merge(by_lang.withColumn("every", F.lit(1)), "every"), "every").alias("w")
@@ -183,13 +190,13 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     ``limits`` is joined on (lang, source), null matching null.
     """
     on = F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source"))
-    fixed = ["base_failed", "rules_failed", "kept"]
-    columns = [c for c in measured.columns if c not in fixed]
+    columns = [c for c in measured.columns if c not in VERDICT]
     joined = measured.alias("m").join(limits.alias("t"), on, "left")
-    failed = F.concat_ws(",", *[F.when(F.expr(r.value) > F.col(f"limit_{r.name}"), r.name) for r in RULES])
+    outside = lambda r: (F.expr(r.value) > F.col(f"limit_{r.name}")) | (F.expr(r.value) < F.col(f"floor_{r.name}") if r.low else F.lit(False))
+    failed = F.concat_ws(",", *[F.when(outside(r), r.name) for r in RULES])
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
-        joined.select(*[F.col(f"m.{c}").alias(c) for c in columns], *[F.col(f"t.limit_{r.name}") for r in RULES])
+        joined.select(*[F.col(f"m.{c}").alias(c) for c in columns], *[F.col(f"t.{c}") for c in LIMITS])
         .select(*columns, base.alias("base_failed"), failed.alias("rules_failed"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("rules_failed") == ""))
     )
@@ -199,7 +206,8 @@ def quality(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (without its text): measurements and verdict.
 
     An empty table gives an empty result; null languages and sources are groups
-    of their own; equal rows get equal verdicts.
+    of their own; equal rows get equal verdicts, and each counts in its group's
+    sketch. A measurement equal to a limit passes.
     """
     measured = materialize(measure(docs, keep_text=False), "quality-measures")
     return judge(measured, materialize(thresholds(measured), "quality-limits"))
@@ -209,6 +217,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with the same columns.
 
     Texts are measured a second time instead of being shuffled to a join.
+    Columns named like measurements stay as they are.
     """
     limits = materialize(thresholds(measure(docs, keep_text=False)), "quality-limits")
-    return judge(measure(docs), limits).where("kept").select(*docs.columns)
+    own = {c: f"__own_{c}" for c in docs.columns if c in (*MEASURES, *VERDICT)}  # stay what they are
+    kept = judge(measure(docs.withColumnsRenamed(own)), limits).where("kept")
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Only a session without that setting (a local test) gets a temporary folder.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from tessera.session import shared_dir
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -29,3 +19,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Text bytes whose packed data one bucket is to hold.
+BUCKET_BYTES = 64 << 20
+
+
+def bucket_count(docs: DataFrame, least: int, column: str = "text") -> int:
+    """Buckets to deal a table's packed data to, so that each fits into a task's memory whatever the size of the table."""
+    size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(least, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))

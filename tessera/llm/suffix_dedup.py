@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow_text import as_text, mix, slices
-from tessera.llm.storage import materialize
+from tessera.llm.storage import bucket_count, materialize
 
 #: Length of the strings that are removed where they repeat.
 LENGTH = 200
@@ -340,12 +340,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     id and text, so ids may be null or shared. Columns of the new names are
     replaced; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     aside = ("n_bytes", "n_removed", "n_spans", "kept", "__key")
     docs = docs.select(*[c for c in docs.columns if c not in aside])
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     texts = keyed.where(F.octet_length("text") >= LENGTH).select(F.col("__key").alias("key"), "text")
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = bucket_count(docs, BUCKETS)
     dealt = texts.mapInArrow(_deal(buckets), _PACKED).repartition(buckets, "bucket")
     todo = dealt.mapInArrow(_recurring, "key bigint, todo array<bigint>").groupBy("key").agg(F.collect_list("todo").alias("todo"))
     todo = materialize(todo, "suffix-todo")
