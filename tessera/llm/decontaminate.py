@@ -213,7 +213,7 @@ def _verify(text: bytes, pattern: bytes, diagonal: int, first: int, last: int, k
         region = text[max(0, start - 2 * edits) : max(0, start + window + 2 * edits)]
         distance = known.get((piece, region))
         if distance is None:
-            distance = 0 if piece in region else band_distance(piece, region, 2 * edits, edits)
+            distance = 0 if piece in region else band_distance(piece, region, 4 * edits, edits)  # the match may begin and end anywhere in the region
             if len(known) < KNOWN:
                 known[piece, region] = distance
         if distance <= edits:
