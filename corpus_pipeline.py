@@ -2,6 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept. All but the last return the columns of ``documents``.
+
+Null and empty texts have fewer than the 20 words that the first stage asks for,
+so they end there. Rows without a ``doc_id`` pass the stages on lines and on near
+duplicates unchanged, and are judged by their own text in the others; rows that
+share a ``doc_id`` are one document to these two stages and rows by themselves to
+the others. Further columns are carried along, whatever their names, but for
+``n_tokens`` and ``ids``, which the last stage sets. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -22,9 +30,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat earlier ones; those with nothing left go."""
-    cut = line_dedup.dedup_lines(docs)
-    left = cut.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = line_dedup.dedup_lines(docs, ("__lines", "__removed"))
+    left = cut.where((F.col("__removed") == 0) | (F.trim("text") != ""))
+    return left.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +59,7 @@ STAGES = [
     ("bpe", encoded),
 ]
 
-#: SimHash, alignment and BPE have no SQL form; tests/llm compares the pipeline with a plain Python version.
+#: SimHash, alignment and BPE have no SQL form; tests/llm/test_hard_cases.py compares each stage and the run with plain Python.
 ORACLE_SQL = None
 
 
