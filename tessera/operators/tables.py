@@ -1,10 +1,12 @@
 """Versioned tables on Parquet: immutable data directories and one manifest per version.
 
 A manifest names the data directories of a version and its columns. Committing
-writes the manifest of the next version under a name that must not exist yet,
-through the Hadoop file system of the path, so two writers cannot both make the
-same version; the loser reads the new head and retries. Data files are never
-changed, so older versions stay readable.
+writes the manifest of the next version under a temporary name and renames it to
+one that must not exist yet, through the Hadoop file system of the path, so no
+reader sees half a manifest and two writers cannot both make the same version;
+the loser reads the new head and retries. Data files are never changed, so older
+versions stay readable. Deletes and upserts rewrite only the data directories
+that hold rows they touch.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RETRIES = 3
+#: Seconds for which a request id is remembered.
+REQUEST_TTL = 300
+#: Bytes of a file that compaction aims at.
+FILE_BYTES = 128 << 20
 
 
 class Conflict(RuntimeError):
@@ -56,7 +62,10 @@ class _Files:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm = spark.sparkContext._jvm
         self.path = self.jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.gateway = spark.sparkContext._gateway
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.path(root).getFileSystem(conf)
+        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), conf)
 
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
@@ -66,19 +75,27 @@ class _Files:
             stream.close()
 
     def create(self, name: str, text: str, overwrite: bool = False) -> bool:
-        """Write a file; False if it is there and may not be overwritten."""
-        if not overwrite and self.fs.exists(self.path(name)):
-            return False
+        """Write a file, whole or not at all; False if it is there and may not be overwritten."""
+        at = name.rfind("/")
+        draft = f"{name[:at]}/.{uuid.uuid4().hex}"
+        stream = self.fs.create(self.path(draft), False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        modes = self.jvm.org.apache.hadoop.fs.Options.Rename
+        mode = self.gateway.new_array(modes, 1)
+        mode[0] = modes.OVERWRITE if overwrite else modes.NONE
         try:
-            stream = self.fs.create(self.path(name), overwrite)
+            self.context.rename(self.path(draft), self.path(name), mode)
         except Exception as e:
-            if "exist" in str(e):
+            self.fs.delete(self.path(draft), False)
+            if "exist" in str(e).lower() and not overwrite:
                 return False
             raise
-        stream.write(bytearray(text.encode()))
-        stream.close()
         return True
 
+    def size(self, name: str) -> int:
+        return self.fs.getContentSummary(self.path(name)).getLength()
+
     def names(self, directory: str) -> list[str]:
         at = self.path(directory)
         return [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
@@ -152,13 +169,35 @@ class VersionedTable:
         schema = T.StructType.fromJson(json.loads(manifest.schema))
         found = None
         for part in manifest.parts:
-            rows = self.spark.read.parquet(f"{self.path}/{part['dir']}")
-            have = set(rows.columns)
-            columns = [(F.col(f"`{part['names'].get(f.name, f.name)}`") if part["names"].get(f.name, f.name) in have and f.name not in part.get("nulls", ()) else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
-            rows = rows.select(*columns)
+            rows = self._rows(part, schema)
             found = rows if found is None else found.unionAll(rows)
         return found if found is not None else self.spark.createDataFrame([], schema)
 
+    def _rows(self, part: dict, schema: T.StructType) -> DataFrame:
+        """The rows of a data directory under the present names."""
+        rows = self.spark.read.parquet(f"{self.path}/{part['dir']}")
+        have = set(rows.columns)
+
+        def column(f: T.StructField):
+            name = part["names"].get(f.name, f.name)
+            return (F.col(f"`{name}`") if name in have and f.name not in part.get("nulls", ()) else F.lit(None)).cast(f.dataType).alias(f.name)
+
+        return rows.select(*[column(f) for f in schema])
+
+    def _without(self, head: Manifest, hit: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame]) -> tuple[list[dict], int]:
+        """(parts, removed rows): directories without a hit stay as they are, those that are all hits go, the others are rewritten."""
+        schema = T.StructType.fromJson(json.loads(head.schema))
+        parts, removed = [], 0
+        for part in head.parts:
+            rows = self._rows(part, schema)
+            n = hit(rows).count()  # the predicate reaches the scan, so files without a hit are skipped by their statistics
+            removed += n
+            if not n:
+                parts.append(part)
+            elif n < part["rows"]:
+                parts.append(_write(rest(rows), self.path))
+        return parts, removed
+
     def count(self, filter: str | None = None) -> int:
         rows = self.read()
         return (rows.where(filter) if filter else rows).count()
@@ -169,13 +208,15 @@ class VersionedTable:
         """Apply ``change`` to the head until its result is the next version."""
         for _ in range(RETRIES + 1):
             head = self.manifest()
-            if request_id and request_id in head.requests:
-                return Commit(**head.requests[request_id])
+            now = time.time()
+            live = {k: v for k, v in head.requests.items() if now - v["at"] <= REQUEST_TTL}
+            if request_id and request_id in live:
+                return Commit(live[request_id]["affected"], live[request_id]["version"])
             new, affected = change(head)
             new.version, new.parent = head.version + 1, head.version
-            new.requests = dict(head.requests)
+            new.requests = live
             if request_id:
-                new.requests[request_id] = asdict(Commit(affected, new.version))
+                new.requests[request_id] = {"affected": affected, "version": new.version, "at": now}
             if self.files.create(f"{self.path}/_manifest/v{new.version}.json", json.dumps(asdict(new))):
                 return Commit(affected, new.version)
         raise Conflict(f"{RETRIES} retries failed")
@@ -198,8 +239,8 @@ class VersionedTable:
             raise ValueError("a filter is required")
 
         def change(head: Manifest) -> tuple[Manifest, int]:
-            part = _write(self.read(head.version).where(~F.coalesce(F.expr(filter), F.lit(False))), self.path)
-            return _next(head, "delete", parts=[part]), sum(p["rows"] for p in head.parts) - part["rows"]
+            parts, removed = self._without(head, lambda rows: rows.where(filter), lambda rows: rows.where(~F.coalesce(F.expr(filter), F.lit(False))))
+            return _next(head, "delete", parts=parts), removed
 
         return self._commit(change, request_id)
 
@@ -213,9 +254,10 @@ class VersionedTable:
         source = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
         def change(head: Manifest) -> tuple[Manifest, int]:
-            kept = self.read(head.version).join(source.select(*on_columns), list(on_columns), "left_anti").select(*schema.names)
+            keys, on = source.select(*on_columns), list(on_columns)
+            parts, _ = self._without(head, lambda rows: rows.join(keys, on, "left_semi"), lambda rows: rows.join(keys, on, "left_anti").select(*schema.names))
             new = _write(source, self.path)
-            return _next(head, "upsert", parts=[_write(kept, self.path), new]), new["rows"]
+            return _next(head, "upsert", parts=[*parts, new]), new["rows"]
 
         return self._commit(change, request_id)
 
@@ -257,9 +299,15 @@ class VersionedTable:
 
         return self.manifest(self._commit(change).version).schema_version
 
-    def compact(self, files: int = 1) -> Commit:
-        """Rewrite the head into ``files`` files."""
-        return self._commit(lambda head: (_next(head, "compact", parts=[_write(self.read(head.version).coalesce(files), self.path)]), 0))
+    def compact(self, files: int | None = None) -> Commit:
+        """Rewrite the head into ``files`` files, by default of about FILE_BYTES each."""
+
+        def change(head: Manifest) -> tuple[Manifest, int]:
+            size = sum(self.files.size(f"{self.path}/{p['dir']}") for p in head.parts)
+            count = files or max(1, -(-size // FILE_BYTES))
+            return _next(head, "compact", parts=[_write(self.read(head.version).repartition(count), self.path)]), 0
+
+        return self._commit(change)
 
     # -- tags, restore, removal
 
@@ -316,5 +364,9 @@ def _write(df: DataFrame, path: str) -> dict:
 
     name = f"data/{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}/{name}")
+    try:
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}/{name}")
+    except Exception:
+        _Files(df.sparkSession, path).delete(f"{path}/{name}")
+        raise
     return {"dir": name, "rows": seen.get["rows"], "names": {}, "nulls": []}

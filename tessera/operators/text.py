@@ -57,6 +57,54 @@ def text_search(table: DataFrame, query: str, k: int = 10, *, text_column: str =
 sparse_search = text_search
 
 
+class TextIndex:
+    """Postings on disk, in directories by a hash of the term and sorted by term, with the corpus statistics.
+
+    A search reads the directories of its terms only, and of these the row
+    groups that hold them. Statistics are those of the whole corpus.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark, path: str, id_column: str):
+        self.spark, self.path, self.id_column = spark, path, id_column
+        self.stats = spark.read.parquet(f"{path}/stats").first()
+
+    @staticmethod
+    def bucket(term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(TextIndex.BUCKETS)).cast("int")
+
+    @staticmethod
+    def build(table: DataFrame, path: str, *, text_column: str = "text", id_column: str = "id") -> TextIndex:
+        spark = table.sparkSession
+        sizes = table.select(F.size(tokens(F.coalesce(F.col(text_column), F.lit("")))).alias("len"))
+        sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).write.parquet(f"{path}/stats")
+        found = postings(table, text_column, id_column).withColumn("_bucket", TextIndex.bucket(F.col("term")))
+        # a frequent term's postings are dealt over several tasks
+        dealt = found.repartition("_bucket", F.pmod(F.xxhash64(id_column), F.lit(4)))
+        dealt.sortWithinPartitions("_bucket", "term").write.partitionBy("_bucket").parquet(f"{path}/postings")
+        return TextIndex(spark, path, id_column)
+
+    def search(self, query: str, k: int = 10, *, offset: int = 0, among: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+        """The ``k`` best rows by BM25, (id, _score), ties by id; ``among`` restricts the ids that are ranked."""
+        terms = query_terms(query)
+        if not terms:
+            raise ValueError("the query has no terms")
+        if k <= 0:
+            raise ValueError("k must be positive")
+        asked = self.spark.createDataFrame([(t,) for t in terms], "term string")
+        buckets = [r[0] for r in asked.select(self.bucket(F.col("term"))).distinct().collect()]
+        found = self.spark.read.parquet(f"{self.path}/postings").where(F.col("_bucket").isin(buckets) & F.col("term").isin(terms)).drop("_bucket")
+        df = found.groupBy("term").agg(F.count("*").alias("df"))
+        n, avgdl = self.stats["n"], self.stats["avgdl"]
+        idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avgdl))
+        rows = found if among is None else found.join(among.select(self.id_column), self.id_column, "left_semi")
+        # one row for each term of the query
+        scored = rows.join(F.broadcast(df), "term").groupBy(self.id_column).agg(F.sum(part).alias("_score"))
+        return scored.orderBy(F.col("_score").desc_nulls_last(), self.id_column).offset(offset).limit(k)
+
+
 def postings(table: DataFrame, text_column: str, id_column: str = "id") -> DataFrame:
     """(term, id, tf, len): an inverted index to write partitioned by a hash of the term."""
     rows = table.select(F.col(id_column), tokens(F.col(text_column)).alias("ts"))

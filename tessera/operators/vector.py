@@ -8,6 +8,7 @@ vector) and ``dot`` is 1 - a.b.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 METRICS = ("l2", "cosine", "dot")
 #: Largest k + offset of a search.
 MAX_K = 10_000
+#: Ids of a lookup that are sent as a list.
+IN_LIST = 500
 #: Vectors up to this many dimensions are unrolled into plain arithmetic, which code generation covers.
 UNROLL = 128
 
@@ -93,58 +96,138 @@ def next_offset(offset: int, k: int, returned: int) -> int:
     return offset + k if returned == k else 0
 
 
+#: Vectors in one packed block of a table.
+BLOCK_ROWS = 4096
+_BLOCK = "part bigint, ids array<bigint>, dim int, data binary"
+
+
+def _packed(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (part, id, v) as blocks of up to ``most`` vectors of one part and dimension; null vectors are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[pdf.v.notna()]
+            pdf = pdf.assign(dim=pdf.v.map(len).astype("int64"))
+            for (part, dim), group in pdf.groupby(["part", "dim"], sort=True):
+                for at in range(0, len(group), most):
+                    own = group.iloc[at : at + most]
+                    data = np.array(own.v.tolist(), np.float64).reshape(len(own), dim)
+                    yield pd.DataFrame({"part": [part], "ids": [own.id.to_numpy()], "dim": [dim], "data": [data.tobytes()]})
+
+    return rows.where("v IS NOT NULL").mapInPandas(run, _BLOCK)
+
+
+def _block_distances(data: np.ndarray, asked: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        return np.stack([((data - q) ** 2).sum(1) for q in asked])
+    d = asked @ data.T
+    if metric == "cosine":
+        norm = np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(data, axis=1)[None, :]
+        d = np.divide(d, norm, out=np.full_like(d, np.nan), where=norm > 0)
+    return 1 - d
+
+
+def _best_of_blocks(pairs: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query_id, id, _distance): the ``k`` nearest rows of each query within each pair of blocks (ids, data, q_ids, q_data)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                data, asked = (np.frombuffer(x, np.float64).reshape(-1, row.dim) for x in (row.data, row.q_data))
+                own = np.asarray(row.ids)
+                for i, d in zip(row.q_ids, _block_distances(data, asked, metric), strict=True):
+                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k and not np.isnan(d).any() else np.arange(len(d))
+                    best = near[np.lexsort((own[near], d[near]))][:k]
+                    best = best[~np.isnan(d[best])]
+                    yield pd.DataFrame({"query_id": np.full(len(best), i), "id": own[best], "_distance": d[best]})
+
+    return pairs.mapInPandas(run, "query_id bigint, id bigint, _distance double")
+
+
+def _first_of(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("_distance", "id"))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def _asked_rows(spark, queries: DataFrame | Sequence[tuple[int, Sequence[float]]], k: int, metric: str) -> DataFrame:
+    """Queries as (query_id, vector)."""
+    _check([0.0], k, 0, metric, MAX_K)
+    if isinstance(queries, DataFrame):
+        return queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>"))
+    if not len(queries):
+        raise ValueError("no queries")
+    return spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in queries], "query_id bigint, vector array<double>")
+
+
 def batch_search(
-    table: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int = 10, *, id_column: str = "id", vector_column: str = "vector",
+    table: DataFrame, queries: DataFrame | Sequence[tuple[int, Sequence[float]]], k: int = 10, *, id_column: str = "id", vector_column: str = "vector",
     metric: str = "l2", filter: str | Column | None = None, block: int = 256,
 ) -> DataFrame:
     """(query_id, id, _distance, rank): the ``k`` nearest rows of each query.
 
-    Queries are taken in blocks. Each Arrow batch of the table is compared with
-    a block by a matrix product and gives its own k best, so what is shuffled is
-    k rows per query and batch.
+    ``queries`` are (query_id, vector), as a table or a list. Table and queries
+    are packed into blocks, every block of queries meets every block of the
+    table, by a matrix product, and gives its own k best, so what is shuffled is
+    k rows per query and block. A query without a vector, or of another
+    dimension than any row, has no rows and does not disturb the others;
+    ``query_errors`` tells why.
     """
-    for _, vector in queries:
-        _check(vector, k, 0, metric, MAX_K)
-    rows = (table if filter is None else table.where(filter)).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
-    found = None
-    for at in range(0, len(queries), block):
-        part = _block_search(rows, queries[at : at + block], k, metric)
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        raise ValueError("no queries")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("_distance", "id"))
-    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    asked = _asked_rows(table.sparkSession, queries, k, metric)
+    rows = (table if filter is None else table.where(filter)).select(F.lit(0).cast("long").alias("part"), F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
+    left = _packed(rows, BLOCK_ROWS).drop("part")
+    right = _packed(asked.select(F.lit(0).cast("long").alias("part"), F.col("query_id").alias("id"), F.col("vector").alias("v")), block)
+    right = right.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    return _first_of(_best_of_blocks(left.crossJoin(right).where("dim = q_dim"), k, metric), k)
 
 
-def _block_search(rows: DataFrame, queries, k: int, metric: str) -> DataFrame:
-    ids = np.array([i for i, _ in queries], np.int64)
-    matrix = np.array([v for _, v in queries], np.float64)
+def query_errors(queries: DataFrame | Sequence[tuple[int, Sequence[float]]], dimension: int, spark=None) -> DataFrame:
+    """(query_id, error) of the queries that a search over vectors of ``dimension`` cannot answer."""
+    asked = _asked_rows(spark or queries.sparkSession, queries, 1, "l2")
+    size = F.size("vector")
+    error = F.when(F.col("vector").isNull() | (size == 0), "the query vector is empty").when(size != dimension, F.concat(F.lit("the query vector has "), size, F.lit(f" dimensions, the table {dimension}")))
+    return asked.select("query_id", error.alias("error")).where("error IS NOT NULL")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[pdf.v.map(lambda v: v is not None and len(v) == matrix.shape[1])]
-            if not len(pdf):
-                continue
-            data, own = np.array(pdf.v.tolist(), np.float64), pdf.id.to_numpy()
-            if metric == "l2":
-                d = np.stack([((data - q) ** 2).sum(1) for q in matrix])
-            else:
-                d = matrix @ data.T
-                if metric == "cosine":
-                    norm = np.linalg.norm(matrix, axis=1)[:, None] * np.linalg.norm(data, axis=1)[None, :]
-                    d = np.divide(d, norm, out=np.full_like(d, np.nan), where=norm > 0)
-                d = 1 - d
-            for i, row in zip(ids, d, strict=True):
-                best = np.lexsort((own, row))[:k]
-                best = best[~np.isnan(row[best])]
-                yield pd.DataFrame({"query_id": i, "id": own[best], "_distance": row[best]})
 
-    return rows.mapInPandas(run, "query_id bigint, id bigint, _distance double")
+def check_dimension(table: DataFrame, vector: Sequence[float], vector_column: str = "vector") -> None:
+    """Raise if no row of the table has the dimension of ``vector``; reads one row."""
+    first = table.where(F.col(vector_column).isNotNull()).select(F.size(vector_column)).first()
+    if first is not None and first[0] != len(vector):
+        raise ValueError(f"the query vector has {len(vector)} dimensions, the table {first[0]}")
+
+
+def merge_top_k(parts: Sequence[DataFrame], k: int, id_column: str = "id", order: str = "_distance", ascending: bool = True) -> DataFrame:
+    """The ``k`` best rows of several top-k results of one schema; each is cut to ``k`` before they meet."""
+    if not parts:
+        raise ValueError("nothing to merge")
+    if k <= 0:
+        raise ValueError("k must be positive")
+    if any(p.dtypes != parts[0].dtypes for p in parts):
+        raise ValueError("the results to merge have different schemas")
+    by = F.col(order).asc_nulls_last() if ascending else F.col(order).desc_nulls_last()
+    whole = None
+    for p in parts:
+        cut = p.orderBy(by, id_column).limit(k)
+        whole = cut if whole is None else whole.unionAll(cut)
+    return whole.orderBy(by, id_column).limit(k)
+
+
+def search_text(table: DataFrame, text: str, k: int = 10, *, provider, vector: Sequence[float] | None = None, **options) -> DataFrame:
+    """A search by a text: ``provider(texts, column)`` adds its ``vector``. A given vector is used as it is; neither is an error."""
+    if vector is None:
+        if not text:
+            raise ValueError("a search needs a vector or a text")
+        spark = table.sparkSession
+        vector = provider(spark.createDataFrame([(text,)], "text string"), "text").first()["vector"]
+    return search(table, vector, k, **options)
 
 
 def get_by_ids(table: DataFrame, ids: Sequence[int], id_column: str = "id", columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows with the given ids; missing ids are absent and no ids give no rows."""
-    found = table.where(F.col(id_column).isin([int(i) for i in ids])) if len(ids) else table.where("false")
+    """Rows with the given ids; missing ids are absent and no ids give no rows. Up to IN_LIST ids are a predicate that reaches the scan, more are joined."""
+    wanted = sorted({int(i) for i in ids})
+    if len(wanted) <= IN_LIST:
+        found = table.where(F.col(id_column).isin(wanted)) if wanted else table.where("false")
+    else:
+        found = table.join(table.sparkSession.createDataFrame([(i,) for i in wanted], f"{id_column} bigint"), id_column, "left_semi")
     return found.select(*(columns or table.columns))
 
 
@@ -172,6 +255,13 @@ def late_interaction(table: DataFrame, query_vectors: Sequence[Sequence[float]],
     return table.withColumn("_score", score).orderBy(F.col("_score").desc_nulls_last(), id_column).limit(k)
 
 
+def late_interaction_rows(rows: DataFrame, query_vectors: Sequence[Sequence[float]], vector_column: str, k: int, id_column: str = "id") -> DataFrame:
+    """The same over one vector per row: the best dot product of each query vector is an aggregate by id, so no id's vectors are gathered."""
+    best = [F.max(1 - distance(F.col(vector_column), q, "dot")).alias(f"b{i}") for i, q in enumerate(query_vectors)]
+    score = _total([F.col(f"b{i}") for i in range(len(query_vectors))])
+    return rows.groupBy(id_column).agg(*best).select(id_column, score.alias("_score")).orderBy(F.col("_score").desc_nulls_last(), id_column).limit(k)
+
+
 def _dots(column: str, q: Sequence[float]) -> Column:
     literal = F.array(*[F.lit(float(x)) for x in q])
     return F.transform(column, lambda v: 1 - pair_distance(v, literal, "dot"))
@@ -221,27 +311,75 @@ class IvfIndex:
         return search(rows, vector, k, id_column=self.id_column, vector_column=self.vector_column, **options)
 
 
+    def batch_search(self, queries: DataFrame | Sequence[tuple[int, Sequence[float]]], k: int = 10, nprobes: int = 20, metric: str = "l2", block: int = 256) -> DataFrame:
+        """(query_id, id, _distance, rank) of many queries: each meets the rows of its ``nprobes`` nearest clusters only."""
+        asked = _asked_rows(self.spark, queries, k, metric)
+        centroids = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in self.centroids])
+        near = F.transform(centroids, lambda c, i: F.struct(pair_distance(F.col("vector"), c, "l2").alias("d"), i.alias("part")))
+        probes = F.transform(F.slice(F.array_sort(near), 1, nprobes), lambda s: s["part"].cast("long"))
+        spread = asked.select(F.explode(probes).alias("part"), F.col("query_id").alias("id"), F.col("vector").alias("v")).repartition("part")
+        right = _packed(spread, block).select(F.col("part"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+        rows = self.spark.read.parquet(f"{self.path}/rows").select(F.col("_cluster").cast("long").alias("part"), F.col(self.id_column).cast("long").alias("id"), F.col(self.vector_column).alias("v"))
+        return _first_of(_best_of_blocks(_packed(rows, BLOCK_ROWS).join(right, "part").where("dim = q_dim"), k, metric), k)
+
+
 #: Index types by name; approximate structures other than inverted files are backed by one with exact distances.
 INDEX_TYPES = frozenset(["", "IVF_FLAT", "IVF_PQ", "IVF_HNSW_SQ", "IVF_HNSW_PQ"])
 
 
-def create_index(table: DataFrame, path: str, index_type: str = "IVF_FLAT", **options) -> IvfIndex:
-    if index_type.upper() not in INDEX_TYPES:
+class ScalarIndex:
+    """A copy of a table in a layout that lets Spark skip what a predicate on one column excludes.
+
+    ``BTREE`` sorts by the column, so the statistics of files and row groups
+    select a range. ``BITMAP`` puts each value into a directory of its own, for
+    columns of few values. ``LABEL_LIST`` has a row for each label of an array
+    column, sorted by label, with the label in ``_label``.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    @staticmethod
+    def build(table: DataFrame, path: str, index_type: str, column: str, partitions: int | None = None) -> ScalarIndex:
+        count = [partitions] if partitions else []
+        if index_type == "BITMAP":
+            # values stay where they are in the rows as well: a directory name has no type
+            table.withColumn("_value", F.col(column)).repartition(*count, "_value", F.pmod(F.xxhash64(*table.columns), F.lit(8))).write.partitionBy("_value").parquet(path)
+        else:
+            by, rows = column, table
+            if index_type == "LABEL_LIST":
+                by, rows = "_label", table.withColumn("_label", F.explode(column))
+            rows.repartitionByRange(*count, by).sortWithinPartitions(by).write.parquet(path)
+        return ScalarIndex(table.sparkSession, path)
+
+    def read(self, filter: str) -> DataFrame:
+        """The rows that satisfy a predicate."""
+        rows = self.spark.read.parquet(self.path)
+        return rows.where(filter).drop("_value")
+
+
+SCALAR_TYPES = frozenset(["BTREE", "BITMAP", "LABEL_LIST"])
+TEXT_TYPES = frozenset(["FTS", "INVERTED"])
+
+
+def create_index(table: DataFrame, path: str, index_type: str = "IVF_FLAT", **options):
+    """An index of a named type: inverted files for vectors, layouts for scalar columns, postings for text."""
+    kind = index_type.upper()
+    if kind in SCALAR_TYPES:
+        return ScalarIndex.build(table, path, kind, **options)
+    if kind in TEXT_TYPES:
+        from tessera.operators.text import TextIndex
+
+        return TextIndex.build(table, path, **options)
+    if kind not in INDEX_TYPES:
         raise ValueError(f"unknown index type {index_type!r}")
     return IvfIndex.build(table, path, **options)
 
 
 def mock_embedding(text: str, dimension: int) -> list[float]:
-    """A deterministic stand-in for a text embedding: a string hash drives a linear congruential generator."""
-    mask = (1 << 64) - 1
-    state = 5381
-    for byte in text.encode():
-        state = (state * 33 + byte) & mask
-    values = []
-    for _ in range(dimension):
-        state = (state * 6364136223846793005 + 1442695040888963407) & mask
-        values.append((state >> 33) / float(1 << 30) - 1.0)
-    return values
+    """A deterministic stand-in for a text embedding, for tests: numbers in [-1, 1) drawn with the text's digest as seed."""
+    seed = np.frombuffer(hashlib.blake2b(text.encode(), digest_size=16).digest(), np.uint32)
+    return (np.random.Generator(np.random.PCG64(seed.tolist())).random(dimension) * 2 - 1).tolist()
 
 
 def embed(texts: DataFrame, column: str, dimension: int = 64, output: str = "vector") -> DataFrame:

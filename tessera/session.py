@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,20 @@ def get_spark(app_name: str = "tessera", master: str | None = None, conf: dict[s
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Only a local session without that setting (a test) gets a temporary folder; on a cluster that would be a folder of one machine.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The Parquet table of that name below ``sf_dir`` (any path Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

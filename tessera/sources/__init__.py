@@ -78,5 +78,11 @@ def split_shards(df: DataFrame, path: str, shards: int, keys: Sequence[str] = ()
     (df.repartition(shards, *keys) if keys else df.repartition(shards)).write.parquet(path)
 
 
+def information_schema(spark: SparkSession, tables: Sequence[str]) -> DataFrame:
+    """(table_name, column_name, ordinal_position, data_type, is_nullable) of tables and views."""
+    rows = [(t, f.name, i, f.dataType.simpleString(), f.nullable) for t in tables for i, f in enumerate(spark.table(t).schema, 1)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, ordinal_position bigint, data_type string, is_nullable boolean")
+
+
 def show_tables(spark: SparkSession) -> DataFrame:
     return spark.sql("SHOW TABLES").select("tableName", "isTemporary")

@@ -115,3 +115,107 @@ def test_functions(spark):
 def test_sessions(spark):
     events = spark.sql("select 1 as user_id, timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, m) as ts, 'x' as event_type, 1.0D as value from values (0), (10), (50) as t(m)")
     assert sorted(r["n"] for r in streaming.sessions(events).collect()) == [1, 2]
+
+
+def test_index_recall(spark, sf_dir):
+    """Recall@5 of the probed index over every twentieth vector, against the exact batch search."""
+    from tessera.plans import registry
+
+    pairs = [{(r["query_id"], r["id"]) for r in registry.queries()[q](spark, sf_dir).collect()} for q in ("v14_batch_search", "v7_ivf_probed")]
+    assert len(pairs[0] & pairs[1]) >= 0.9 * len(pairs[0])
+
+
+def test_approximate_aggregates(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    got = lines.agg(F.approx_count_distinct("l_partkey", 0.05).alias("d"), F.countDistinct("l_partkey").alias("n"), F.percentile_approx("l_quantity", 0.5).alias("p"), F.median("l_quantity").alias("m")).first()
+    assert abs(got["d"] - got["n"]) <= 0.15 * got["n"] and abs(got["p"] - got["m"]) <= 1
+
+
+def test_bad_queries_do_not_disturb_a_batch(vectors):
+    asked = [(1, [1.0, 0.0]), (2, []), (3, [1.0, 2.0, 3.0])]
+    assert {r["query_id"] for r in vector.batch_search(vectors, asked, 2).collect()} == {1}
+    errors = {r["query_id"]: r["error"] for r in vector.query_errors(asked, 2, vectors.sparkSession).collect()}
+    assert set(errors) == {2, 3} and "3 dimensions" in errors[3]
+    with pytest.raises(ValueError):
+        vector.check_dimension(vectors, [1.0, 2.0, 3.0])
+
+
+def test_merge_checks_schemas(vectors):
+    one = vector.search(vectors, [1.0, 0.0], 3)
+    with pytest.raises(ValueError):
+        vector.merge_top_k([one, one.withColumn("extra", F.lit(1))], 3)
+    assert ids(vector.merge_top_k([one, one.where("id > 1")], 2)) == [1, 6]
+
+
+def test_text_to_vector(vectors):
+    provider = lambda df, column: df.withColumn("vector", F.array(F.length(column).cast("double"), F.lit(0.0)))
+    assert ids(vector.search_text(vectors, "a", 1, provider=provider)) == [1]
+    with pytest.raises(ValueError):
+        vector.search_text(vectors, "", 1, provider=provider)
+
+
+def test_text_index_equals_the_scan(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    index = vector.create_index(docs, f"file://{tmp_path}/fts", "INVERTED", id_column="doc_id")
+    rows = lambda df: [(r["doc_id"], round(r["_score"], 9)) for r in df.collect()]
+    assert rows(index.search("the ention", 15)) == rows(text.text_search(docs, "the ention", 15, id_column="doc_id"))
+    among = docs.where("lang = 'de'")
+    assert {i for i, _ in rows(index.search("the die", 15, among=among))} <= {r["doc_id"] for r in among.collect()}
+
+
+def test_label_list_index(spark, tmp_path):
+    table = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"]), (3, None)], "id bigint, labels array<string>")
+    index = vector.create_index(table, f"file://{tmp_path}/labels", "LABEL_LIST", column="labels")
+    assert sorted(ids(index.read("_label = 'b'"))) == [1, 2]
+
+
+def test_writes_touch_only_what_they_change(spark, tmp_path):
+    table = VersionedTable.create(spark.range(10).toDF("id"), f"file://{tmp_path}/t")
+    table.append(spark.range(10, 20).toDF("id"))
+    before = [p["dir"] for p in table.manifest().parts]
+    assert table.delete("id = 3").affected == 1
+    after = [p["dir"] for p in table.manifest().parts]
+    assert after[1] == before[1] and after[0] != before[0] and table.count() == 19
+    table.delete("id < 10")
+    assert [p["dir"] for p in table.manifest().parts] == before[1:] and table.delete("id = 99").affected == 0
+
+
+def test_two_writers_make_two_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    table = VersionedTable.create(spark.range(5).toDF("id"), f"file://{tmp_path}/t")
+    with ThreadPoolExecutor(3) as pool:
+        done = list(pool.map(lambda k: VersionedTable(spark, table.path).append(spark.range(k, k + 1).toDF("id")).version, (100, 200, 300)))
+    assert sorted(done) == [2, 3, 4] and table.count() == 8 and table.versions() == [1, 2, 3, 4]
+
+
+def test_request_ids_expire(spark, tmp_path, monkeypatch):
+    from tessera.operators import tables
+
+    table = VersionedTable.create(spark.range(5).toDF("id"), f"file://{tmp_path}/t")
+    first = table.append(spark.range(1).toDF("id"), request_id="r")
+    assert table.append(spark.range(1).toDF("id"), request_id="r") == first
+    monkeypatch.setattr(tables, "REQUEST_TTL", -1)
+    assert table.append(spark.range(1).toDF("id"), request_id="r").version == 3 and set(table.manifest().requests) == {"r"}
+
+
+def test_failed_create_leaves_nothing(spark, tmp_path):
+    bad = spark.range(3).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception):
+        VersionedTable.create(bad, f"file://{tmp_path}/t")
+    assert not list((tmp_path / "t").glob("data/*")) if (tmp_path / "t").exists() else True
+    assert VersionedTable.create(spark.range(3).toDF("id"), f"file://{tmp_path}/t").count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from tessera import session
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Fake)
