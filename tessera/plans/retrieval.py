@@ -329,11 +329,17 @@ def w10_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w11_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _table(spark, sf_dir)
-    rows = load(spark, sf_dir, "customer").withColumn("c_name", F.concat(F.lit("new-"), "c_name"))
-    changed = rows.where("c_mktsegment = 'BUILDING'")
-    table.upsert(changed.unionByName(rows.where("c_nationkey = 5").withColumn("c_custkey", -F.col("c_custkey"))), ["c_custkey"])
-    return table.read()
+    """Renamed customers replace their rows, and mirrored ones are added.
+
+    Rows are told apart by a number of their own: customer keys may repeat, be 0 or be mirrored already.
+    """
+    rows = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    table = VersionedTable.create(rows.withColumn("row", F.monotonically_increasing_id()), scratch(spark))
+    renamed = table.read().withColumn("c_name", F.concat(F.lit("new-"), "c_name"))
+    changed = renamed.where("c_mktsegment = 'BUILDING'")
+    added = renamed.where("c_nationkey = 5").withColumns({"c_custkey": -F.col("c_custkey"), "row": -1 - F.col("row")})
+    table.upsert(changed.unionByName(added), ["row"])
+    return table.read().select("c_custkey", "c_name", "c_nationkey")
 
 
 def w12_alter(spark: SparkSession, sf_dir: str) -> DataFrame:
