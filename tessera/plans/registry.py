@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera import functions
-from tessera.plans import pack, retrieval, tpch
+from tessera.plans import frames, pack, retrieval, tpch
 from tessera.session import register_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,7 @@ def _sql(text: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _sql(text) for name, text in tpch.SQL.items()} | {name: _sql(pack.spark_sql(name)) for name in pack.SQL} | retrieval.QUERIES
+    return {name: _sql(text) for name, text in tpch.SQL.items()} | {name: _sql(pack.spark_sql(name)) for name in pack.SQL} | frames.QUERIES | retrieval.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -41,3 +41,12 @@ def test_upsert_of_keys_that_repeat_or_are_mirrored(spark, folder):
     replace("customer", f"{rows} union all {rows} where c_custkey < 50 union all {odd}")
     found, wanted = as_sql(spark, path, "w11_upsert")
     assert found == wanted
+
+
+def test_null_safe_join_counts_pairs_without_making_them(spark, folder):
+    """4.8e10 pairs, which would take hours one by one; nulls are a key of their own."""
+    path, replace = folder
+    replace("customer", "select case when i % 3 = 0 then null else i end as c_custkey, [null, 3, 7, 7, 9][i % 5 + 1] as c_nationkey from range(400000) t(i)")
+    replace("supplier", "select i as s_suppkey, [null, 3, 7, 8][i % 4 + 1] as s_nationkey from range(400000) t(i)")
+    found = {(r["k"], r["pairs"], r["top"]) for r in registry.queries()["j10_null_safe"](spark, path).collect()}
+    assert found == {(None, 160000 * 200000, 799992), (7, 160000 * 100000, 799996)}
