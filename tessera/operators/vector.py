@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,52 +97,118 @@ def next_offset(offset: int, k: int, returned: int) -> int:
     return offset + k if returned == k else 0
 
 
-#: Vectors in one packed block of a table.
-BLOCK_ROWS = 4096
-_BLOCK = "part bigint, ids array<bigint>, dim int, data binary"
+#: Vectors and queries that meet in one task, and those compared at once there.
+CELL_ROWS, CELL_QUERIES = 1 << 16, 1 << 14
+_ROWS, _QUERIES = 2048, 256
+#: Rows of a table that are worth a task of their own.
+_LEAST_ROWS = 4096
 
 
-def _packed(rows: DataFrame, most: int) -> DataFrame:
-    """Rows (part, id, v) as blocks of up to ``most`` vectors of one part and dimension; null vectors are left out."""
+def _matrix(values: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, vectors) of each dimension in a column of lists; missing components are NaN."""
+    for chunk_start, chunk in zip(np.cumsum([0, *[len(c) for c in values.chunks]]), values.chunks, strict=False):
+        sizes = chunk.value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(sizes):
+            at = np.flatnonzero(sizes == dim)
+            flat = chunk.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+            yield at + chunk_start, flat.astype(np.float64).reshape(len(at), dim)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[pdf.v.notna()]
-            pdf = pdf.assign(dim=pdf.v.map(len).astype("int64"))
-            for (part, dim), group in pdf.groupby(["part", "dim"], sort=True):
-                for at in range(0, len(group), most):
-                    own = group.iloc[at : at + most]
-                    data = np.array(own.v.tolist(), np.float64).reshape(len(own), dim)
-                    yield pd.DataFrame({"part": [part], "ids": [own.id.to_numpy()], "dim": [dim], "data": [data.tobytes()]})
 
-    return rows.where("v IS NOT NULL").mapInPandas(run, _BLOCK)
+def _by_dimension(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) by dimension, sorted by id."""
+    ids, found = table["id"].to_numpy(), {}
+    for at, data in _matrix(table["v"]):
+        found.setdefault(data.shape[1], []).append((ids[at], data))
+    joined = {dim: [np.concatenate(x) for x in zip(*parts, strict=True)] for dim, parts in found.items()}
+    return {dim: (own[order], data[order]) for dim, (own, data) in joined.items() for order in [np.argsort(own, kind="stable")]}
 
 
-def _block_distances(data: np.ndarray, asked: np.ndarray, metric: str) -> np.ndarray:
+def _exact(data: np.ndarray, asked: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of vectors row by row, the same for equal vectors wherever they stand."""
     if metric == "l2":
-        return np.stack([((data - q) ** 2).sum(1) for q in asked])
-    d = asked @ data.T
+        return ((data - asked) ** 2).sum(1)
+    dot = (data * asked).sum(1)
     if metric == "cosine":
-        norm = np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(data, axis=1)[None, :]
-        d = np.divide(d, norm, out=np.full_like(d, np.nan), where=norm > 0)
-    return 1 - d
+        norm = np.sqrt((data**2).sum(1)) * np.sqrt((asked**2).sum(1))
+        dot = np.divide(dot, norm, out=np.full_like(dot, np.nan), where=norm > 0)
+    return 1 - dot
 
 
-def _best_of_blocks(pairs: DataFrame, k: int, metric: str) -> DataFrame:
-    """(query_id, id, _distance): the ``k`` nearest rows of each query within each pair of blocks (ids, data, q_ids, q_data)."""
+def _nearest(own: np.ndarray, data: np.ndarray, asked: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, id, distance): the ``k`` rows nearest to each query.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples():
-                data, asked = (np.frombuffer(x, np.float64).reshape(-1, row.dim) for x in (row.data, row.q_data))
-                own = np.asarray(row.ids)
-                for i, d in zip(row.q_ids, _block_distances(data, asked, metric), strict=True):
-                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k and not np.isnan(d).any() else np.arange(len(d))
-                    best = near[np.lexsort((own[near], d[near]))][:k]
-                    best = best[~np.isnan(d[best])]
-                    yield pd.DataFrame({"query_id": np.full(len(best), i), "id": own[best], "_distance": d[best]})
-
-    return pairs.mapInPandas(run, "query_id bigint, id bigint, _distance double")
+    A matrix product tells which rows may be among the k best, with room for its
+    rounding; only these are measured exactly.
+    """
+    best = (np.empty(0, np.int64), np.empty(0, own.dtype), np.empty(0))
+    limit = np.full(len(asked), np.inf)
+    size = lambda x: np.einsum("ij,ij->i", x, x)
+    asked_size = size(asked)
+    for start in range(0, len(data), _ROWS):
+        rows = data[start : start + _ROWS]
+        rows_size = size(rows)
+        with np.errstate(all="ignore"):
+            rough = asked @ rows.T
+            if metric == "l2":
+                rough = asked_size[:, None] + rows_size[None, :] - 2 * rough
+                room = (asked_size + rows_size.max()) * (data.shape[1] + 8) * 1e-15
+            elif metric == "dot":
+                rough = 1 - rough
+                room = 1e-15 + np.sqrt(asked_size * rows_size.max()) * (data.shape[1] + 8) * 1e-15
+            else:
+                rough = 1 - rough / np.sqrt(asked_size[:, None] * rows_size[None, :])
+                room = np.full(len(asked), (data.shape[1] + 8) * 1e-14)
+            if len(rows) >= k and not np.isfinite(limit).all():
+                limit = np.fmin(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + room)
+            # what is not comparable stays
+            q, r = np.nonzero(~(rough > (limit + room)[:, None]))
+            distance = _exact(rows[r], asked[q], metric)
+        known = ~np.isnan(distance)
+        best = tuple(np.concatenate(x) for x in zip(best, (q[known], own[start + r[known]], distance[known]), strict=True))
+        order = np.lexsort((best[1], best[2], best[0]))
+        place = best[0][order]
+        rank = np.arange(len(place)) - np.searchsorted(place, place)
+        best = tuple(x[order[rank < k]] for x in best)
+        last = rank[rank < k] == k - 1
+        limit[best[0][last]] = best[2][last]
+    return best
+
+
+def _nearest_of_cells(rows: DataFrame, asked: DataFrame, k: int, metric: str, block: int) -> DataFrame:
+    """(query_id, id, _distance): the ``k`` nearest rows of each query within each cell; ``rows`` and ``asked`` are (part, id, v).
+
+    The rows of a part meet its queries. A part is dealt to cells of about
+    CELL_ROWS rows and CELL_QUERIES queries by a hash of the id, fewer rows
+    where there would be fewer cells than tasks, so a task holds two small tables
+    whatever the size of the input.
+    """
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, asked = rows.where("v IS NOT NULL"), asked.where("v IS NOT NULL")
+    parts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    largest, count = parts.agg(F.max("n"), F.count("*")).first()
+    most = asked.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    across = max(1, -(-(most or 0) // CELL_QUERIES))
+    down = max(-(-(largest or 0) // CELL_ROWS), min(-(-(largest or 0) // _LEAST_ROWS), -(-tasks // max(1, count * across))), 1)
+    cells = max(1, count * across * down)
+
+    def dealt(df: DataFrame, own: str, deals: int, other: str, copies: int) -> DataFrame:
+        dealt_ = df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(deals)).cast("int"))
+        return dealt_.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select("part", "a", "b", "id", "v").repartition(max(tasks, cells), "part", "a", "b")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found, wanted = _by_dimension(left), _by_dimension(right)
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for dim in found.keys() & wanted.keys():
+            (own, data), (names, vectors) = found[dim], wanted[dim]
+            for at in range(0, len(names), block):
+                q, i, d = _nearest(own, data, vectors[at : at + block], k, metric)
+                out.append((names[at + q], i, d))
+        return pa.table(dict(zip(("query_id", "id", "_distance"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+
+    left, right = dealt(rows, "a", down, "b", across), dealt(asked, "b", across, "a", down)
+    keys = ["part", "a", "b"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id bigint, id bigint, _distance double")
 
 
 def _first_of(found: DataFrame, k: int) -> DataFrame:
@@ -161,23 +228,21 @@ def _asked_rows(spark, queries: DataFrame | Sequence[tuple[int, Sequence[float]]
 
 def batch_search(
     table: DataFrame, queries: DataFrame | Sequence[tuple[int, Sequence[float]]], k: int = 10, *, id_column: str = "id", vector_column: str = "vector",
-    metric: str = "l2", filter: str | Column | None = None, block: int = 256,
+    metric: str = "l2", filter: str | Column | None = None, block: int = _QUERIES,
 ) -> DataFrame:
     """(query_id, id, _distance, rank): the ``k`` nearest rows of each query.
 
     ``queries`` are (query_id, vector), as a table or a list. Table and queries
-    are packed into blocks, every block of queries meets every block of the
-    table, by a matrix product, and gives its own k best, so what is shuffled is
-    k rows per query and block. A query without a vector, or of another
-    dimension than any row, has no rows and does not disturb the others;
-    ``query_errors`` tells why.
+    are dealt to cells, every cell of queries meets every cell of the table, by
+    matrix products, and gives its own k best, so what is shuffled is k rows per
+    query and cell, and the table once for each cell of queries. A query without
+    a vector, or of another dimension than any row, has no rows and does not
+    disturb the others; ``query_errors`` tells why.
     """
     asked = _asked_rows(table.sparkSession, queries, k, metric)
-    rows = (table if filter is None else table.where(filter)).select(F.lit(0).cast("long").alias("part"), F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
-    left = _packed(rows, BLOCK_ROWS).drop("part")
-    right = _packed(asked.select(F.lit(0).cast("long").alias("part"), F.col("query_id").alias("id"), F.col("vector").alias("v")), block)
-    right = right.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    return _first_of(_best_of_blocks(left.crossJoin(right).where("dim = q_dim"), k, metric), k)
+    part = F.lit(0).cast("long").alias("part")
+    rows = (table if filter is None else table.where(filter)).select(part, F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
+    return _first_of(_nearest_of_cells(rows, asked.select(part, F.col("query_id").alias("id"), F.col("vector").alias("v")), k, metric, block), k)
 
 
 def query_errors(queries: DataFrame | Sequence[tuple[int, Sequence[float]]], dimension: int, spark=None) -> DataFrame:
@@ -311,16 +376,15 @@ class IvfIndex:
         return search(rows, vector, k, id_column=self.id_column, vector_column=self.vector_column, **options)
 
 
-    def batch_search(self, queries: DataFrame | Sequence[tuple[int, Sequence[float]]], k: int = 10, nprobes: int = 20, metric: str = "l2", block: int = 256) -> DataFrame:
+    def batch_search(self, queries: DataFrame | Sequence[tuple[int, Sequence[float]]], k: int = 10, nprobes: int = 20, metric: str = "l2", block: int = _QUERIES) -> DataFrame:
         """(query_id, id, _distance, rank) of many queries: each meets the rows of its ``nprobes`` nearest clusters only."""
         asked = _asked_rows(self.spark, queries, k, metric)
         centroids = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in self.centroids])
         near = F.transform(centroids, lambda c, i: F.struct(pair_distance(F.col("vector"), c, "l2").alias("d"), i.alias("part")))
         probes = F.transform(F.slice(F.array_sort(near), 1, nprobes), lambda s: s["part"].cast("long"))
-        spread = asked.select(F.explode(probes).alias("part"), F.col("query_id").alias("id"), F.col("vector").alias("v")).repartition("part")
-        right = _packed(spread, block).select(F.col("part"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+        spread = asked.select(F.explode(probes).alias("part"), F.col("query_id").alias("id"), F.col("vector").alias("v"))
         rows = self.spark.read.parquet(f"{self.path}/rows").select(F.col("_cluster").cast("long").alias("part"), F.col(self.id_column).cast("long").alias("id"), F.col(self.vector_column).alias("v"))
-        return _first_of(_best_of_blocks(_packed(rows, BLOCK_ROWS).join(right, "part").where("dim = q_dim"), k, metric), k)
+        return _first_of(_nearest_of_cells(rows, spread, k, metric, block), k)
 
 
 #: Index types by name; approximate structures other than inverted files are backed by one with exact distances.

@@ -4,8 +4,11 @@ import os
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import vector
 from tessera.plans import registry
 
 
@@ -50,3 +53,40 @@ def test_null_safe_join_counts_pairs_without_making_them(spark, folder):
     replace("supplier", "select i as s_suppkey, [null, 3, 7, 8][i % 4 + 1] as s_nationkey from range(400000) t(i)")
     found = {(r["k"], r["pairs"], r["top"]) for r in registry.queries()["j10_null_safe"](spark, path).collect()}
     assert found == {(None, 160000 * 200000, 799992), (7, 160000 * 100000, 799996)}
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot", "cosine"])
+def test_batch_search_in_cells_equals_all_distances(spark, monkeypatch, metric):
+    """Many cells, copies, near ties far from the origin, and values that overflow or are no numbers."""
+    monkeypatch.setattr(vector, "CELL_ROWS", 200)
+    monkeypatch.setattr(vector, "CELL_QUERIES", 15)
+    monkeypatch.setattr(vector, "_ROWS", 16)
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(1500, 6))
+    rows[300:600] = rows[:300]
+    rows[600:900] = 1e6 + rows[:300] * 1e-3
+    rows[900], rows[901], rows[902] = np.nan, np.inf, 1e200
+    rows[903:950] = 0
+    table = [(i, [float(x) for x in v]) for i, v in enumerate(rows)] + [(1500, None), (1501, [1.0, 2.0])]
+    df = spark.createDataFrame(table, "id bigint, vector array<double>")
+    asked = [i for i in range(0, 1500, 20) if i != 900]
+    found = vector.batch_search(df, df.where(F.col("id").isin(asked)).select(F.col("id").alias("query_id"), "vector"), 4, metric=metric).collect()
+    got = {(r["query_id"], r["rank"]): r["id"] for r in found}
+    want = {}
+    with np.errstate(all="ignore"):
+        for i in asked:
+            d = vector._exact(rows, np.broadcast_to(rows[i], rows.shape), metric)
+            best = [j for j in np.lexsort((np.arange(len(d)), d)) if not np.isnan(d[j])][:4]
+            want |= {(i, n + 1): j for n, j in enumerate(best)}
+    assert got == want
+
+
+def test_batch_search_is_dealt_to_tasks(spark, folder):
+    """A table of one file gives many cells, none of them large."""
+    path, replace = folder
+    replace("embeddings", "select vec_id + i * 10000 as vec_id, embedding, label from 'SRC/embeddings.parquet', range(5) t(i)")
+    plan = registry.queries()["v14_batch_search"](spark, path)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    replace("embeddings", "select vec_id + i * 10000 as vec_id, embedding, label from 'SRC/embeddings.parquet', range(2) t(i) where vec_id < 200")
+    found, wanted = as_sql(spark, path, "v14_batch_search")
+    assert found == wanted
