@@ -258,9 +258,9 @@ def v25_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search quality where an embedding is relevant if it has the query's label."""
     table = load(spark, sf_dir, "embeddings")
     results = v14_batch(spark, sf_dir)
-    labels = table.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
-    relevant = table.join(labels, F.col("label") == F.col("l")).select("query_id", F.col("vec_id").alias("id"))
-    return metrics.quality(results, relevant, 5).select("query_id", *[F.round(c, 9).alias(c) for c in ("recall", "ndcg", "mrr")])
+    queries = table.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    found = metrics.quality_by_label(results, queries, table.select(F.col("vec_id").alias("id"), "label"), 5)
+    return found.select("query_id", *[F.round(c, 9).alias(c) for c in ("recall", "ndcg", "mrr")])
 
 
 _QUALITY_SQL = f"""

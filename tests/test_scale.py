@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import vector
+from tessera.operators import metrics, vector
 from tessera.plans import registry
 
 
@@ -90,3 +90,19 @@ def test_batch_search_is_dealt_to_tasks(spark, folder):
     replace("embeddings", "select vec_id + i * 10000 as vec_id, embedding, label from 'SRC/embeddings.parquet', range(2) t(i) where vec_id < 200")
     found, wanted = as_sql(spark, path, "v14_batch_search")
     assert found == wanted
+
+
+def test_quality_by_label_equals_quality(spark, folder):
+    path, replace = folder
+    replace("embeddings", "select vec_id + i * 10000 as vec_id, embedding, case when vec_id % 7 = 0 then null else label end as label from 'SRC/embeddings.parquet', range(2) t(i) where vec_id < 200")
+    found, wanted = as_sql(spark, path, "v25_quality")
+    assert found == wanted
+
+
+def test_quality_by_label_makes_no_pairs(spark):
+    """One label for all: 1e10 relevant pairs, which would take hours one by one."""
+    rows = spark.range(200_000).withColumn("label", F.lit(1))
+    queries = spark.range(50_000).select(F.col("id").alias("query_id"), F.lit(1).alias("label"))
+    results = queries.select("query_id", (F.col("query_id") + 1).alias("id"), F.lit(1).cast("long").alias("rank"))
+    measured = metrics.quality_by_label(results, queries, rows, 5)
+    assert measured.agg(F.count("*"), F.min("mrr"), F.max("recall")).first() == (50_000, 1.0, 1 / 200_000)
