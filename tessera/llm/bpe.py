@@ -78,14 +78,20 @@ class BpeModel:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Exact BPE of a list of symbols: the lowest-ranked pair first, the leftmost of equals."""
-        rank = self.rank
         if len(symbols) > LONG_WORD:
             return self._merge_long(symbols)
-        while len(symbols) > 1:
-            best, at = min((rank.get(p, 1 << 30), k) for k, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-            if best == 1 << 30:
-                break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        rank, none = self.rank.get, 1 << 30
+        # a merge changes the ranks of its two neighbours only
+        ranks = [rank(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            merged = symbols[at] + symbols[at + 1]
+            symbols[at : at + 2] = [merged]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((symbols[at - 1], merged), none)
+            if at < len(ranks):
+                ranks[at] = rank((merged, symbols[at + 1]), none)
         return symbols
 
     def _merge_long(self, symbols: list) -> list[str]:
