@@ -58,9 +58,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _packed_rows(bucket: np.ndarray, doc: np.ndarray, buckets: int, word: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket: its documents, the lengths of runs of one word, and in ``data`` the runs' words, each element's document (by number) and its other words.
+    """One row per bucket. In ``data`` are its documents, the lengths of runs of one word, the runs' words, each element's document (by number) and its other words; ``counts`` has the numbers of runs and documents.
 
     Other words are numbers too, of the distinct ones in the row; how many these are stands first.
+    Words and documents are sorted, so their differences are kept, and ``data`` is compressed.
     """
     order = np.lexsort((word, bucket))
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -72,14 +73,37 @@ def _packed_rows(bucket: np.ndarray, doc: np.ndarray, buckets: int, word: np.nda
             at = np.concatenate(([0], np.flatnonzero(np.diff(word[part])) + 1))
             runs = np.diff(np.concatenate((at, [len(part)])))
             told = [np.unique(c[part], return_inverse=True) for c in others]
-            parts = [np.array([len(u) for u, _ in told], np.int64).tobytes(), word[part[at]].tobytes(), number.astype(_numbers(len(ids))).tobytes()]
-            parts += [x for u, i in told for x in (u.tobytes(), i.astype(_numbers(len(u))).tobytes())]
-            rows.append((k, ids, runs.astype(np.int32), b"".join(parts)))
+            parts = [np.array([len(u) for u, _ in told], np.int64).tobytes(), _planes(runs.astype(np.uint32)), _differences(ids.view(np.uint64)), _differences(word[part[at]]), _planes(number.astype(_numbers(len(ids))))]
+            parts += [x for u, i in told for x in (_differences(u), _planes(i.astype(_numbers(len(u)))))]
+            rows.append((k, [], [len(runs), len(ids)], _compressed(b"".join(parts))))
     kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
     columns = zip(*rows, strict=True) if rows else [[]] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=_NAMES)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then their second ones, and so on: equal high bytes compress well side by side."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def _from_planes(raw: np.ndarray, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+def _differences(ascending: np.ndarray) -> bytes:
+    return _planes(np.diff(ascending, prepend=np.zeros(1, np.uint64)))
+
+
+def _compressed(data: bytes) -> bytes:
+    """Compressed bytes behind their length."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
+
+
+def _plain(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _numbers(documents: int) -> type[np.unsignedinteger]:
     """The type of numbers of so many things in a packed row."""
     return np.uint8 if documents <= 1 << 8 else np.uint16 if documents <= 1 << 16 else np.uint32
@@ -89,21 +113,24 @@ def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray
     """(doc, column...) of all packed rows of a task."""
     docs, columns = [], [[] for _ in range(width)]
     for batch in batches:
-        for ids, counts, data in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-            ids, runs, raw = ids.values.to_numpy(), counts.values.to_numpy(), data.as_py()
-            n, at = int(runs.sum()), 0
+        for counts, data in zip(batch.column("counts"), batch.column("data"), strict=True):
+            (run_count, id_count), raw, at = counts.as_py(), np.frombuffer(_plain(data.as_py()), np.uint8), 0
 
             def take(kind: type, count: int) -> np.ndarray:
                 nonlocal at
-                found = np.frombuffer(raw, kind, count, at)
-                at += found.nbytes
-                return found
-
-            sizes = take(np.int64, width - 1)
-            columns[0].append(np.repeat(take(np.uint64, len(runs)), runs))
+                part = raw[at : at + count * np.dtype(kind).itemsize]
+                at += len(part)
+                return _from_planes(part, kind)
+
+            sizes = raw[: 8 * (width - 1)].view(np.int64)
+            at += 8 * (width - 1)
+            runs = take(np.uint32, run_count)
+            n = int(runs.sum())
+            ids = np.cumsum(take(np.uint64, id_count)).view(np.int64)
+            columns[0].append(np.repeat(np.cumsum(take(np.uint64, run_count)), runs))
             docs.append(ids[take(_numbers(len(ids)), n)])
             for k, size in enumerate(sizes.tolist(), 1):
-                distinct = take(np.uint64, size)
+                distinct = np.cumsum(take(np.uint64, size))
                 columns[k].append(distinct[take(_numbers(size), n)])
     join = lambda xs, t: np.concatenate([*xs, np.zeros(0, t)])
     return join(docs, np.int64), *(join(c, np.uint64) for c in columns)

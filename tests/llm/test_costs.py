@@ -2,7 +2,10 @@
 
 import random
 
-from tessera.llm import bpe
+import numpy as np
+
+from tessera.llm import bpe, lm_score
+from tessera.llm.arrow_text import mix
 
 
 def test_merging_looks_up_each_neighbour_once():
@@ -25,3 +28,14 @@ def test_merging_looks_up_each_neighbour_once():
         merged = model.merge(model.symbols(word, True))
         assert Counted.n - before <= 3 * len(word)
         assert merged == model._merge_long(model.symbols(word, True))
+
+
+def test_packed_pairs_take_few_bytes_and_come_back():
+    rng = np.random.default_rng(2)
+    words = mix(np.arange(1, 5001).astype(np.uint64))
+    at = rng.zipf(1.3, 60_000) % 5000
+    second, first, doc = words[at], words[np.roll(at, 1)], np.sort(mix(rng.integers(0, 400, 60_000).astype(np.uint64)).view(np.int64))
+    packed = lm_score._packed_rows(np.zeros(len(doc), np.int64), doc, 1, second, first)
+    assert packed.nbytes < 200_000  # 321,284 without differences, byte planes and compression
+    found = zip(*lm_score._unpacked(iter([packed]), 2), strict=True)
+    assert sorted(found) == sorted(zip(doc, second, first, strict=True))
