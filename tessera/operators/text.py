@@ -106,6 +106,14 @@ class TextIndex:
 
 
 def postings(table: DataFrame, text_column: str, id_column: str = "id") -> DataFrame:
-    """(term, id, tf, len): an inverted index to write partitioned by a hash of the term."""
-    rows = table.select(F.col(id_column), tokens(F.col(text_column)).alias("ts"))
-    return rows.select(id_column, F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("term", id_column, "len").agg(F.count("*").alias("tf"))
+    """(id, len, term, tf): an inverted index to write partitioned by a hash of the term.
+
+    A row's terms are sorted and their runs counted, so nothing is shuffled for it.
+    """
+    rows = table.select(F.col(id_column), F.sort_array(tokens(F.col(text_column))).alias("ts")).where(F.size("ts") > 0)
+    # the arrays around columns keep their expressions from being evaluated again in the lambdas
+    rows = rows.select(id_column, F.explode(F.array("ts")).alias("ts"))
+    places = F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
+    runs = rows.select(id_column, "ts", F.explode(F.array(places)).alias("starts"))
+    counted = F.transform("starts", lambda i, j: F.struct(F.get("ts", i).alias("term"), (F.coalesce(F.get("starts", j + 1), F.size("ts")) - i).cast("long").alias("tf")))
+    return runs.select(id_column, F.size("ts").alias("len"), F.inline(counted))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import metrics, vector
+from tessera.operators import metrics, text, vector
 from tessera.plans import registry
 
 
@@ -106,3 +106,10 @@ def test_quality_by_label_makes_no_pairs(spark):
     results = queries.select("query_id", (F.col("query_id") + 1).alias("id"), F.lit(1).cast("long").alias("rank"))
     measured = metrics.quality_by_label(results, queries, rows, 5)
     assert measured.agg(F.count("*"), F.min("mrr"), F.max("recall")).first() == (50_000, 1.0, 1 / 200_000)
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, "b a b, A c"), (2, ""), (3, None), (4, "Ä1 ä1"), (5, "..")], "id bigint, text string")
+    found = text.postings(rows, "text")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["id"], r["len"], r["term"], r["tf"]) for r in found.collect()} == {(1, 5, "a", 2), (1, 5, "b", 2), (1, 5, "c", 1), (4, 2, "ä1", 2)}
