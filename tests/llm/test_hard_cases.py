@@ -322,3 +322,41 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         out = corpus_pipeline.run(spark, path)
         assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_removed", "n_tokens", "ids"]
         assert all(r["n_removed"] == "clash" for r in out.collect()) and out.count() <= len(rows)
+
+
+def test_lines_that_differ_in_many_short_words(spark):
+    """Within the edit budget though a quarter of the words differ and all are moved by one."""
+    words = [w for i in range(30) for w in (f"{'bcdfg'[i % 5]}{'aeiou'[i // 6]}t", prose(700 + i, 1) + "qwer")]
+    other = ["zzzz"] + [w[0] + "y" + w[2:] if k % 4 == 0 else w for k, w in enumerate(words)]
+    docs = {1: " ".join(words), 2: " ".join(other)}
+    assert dedup_lines(docs) == {1: docs[1], 2: ""}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table(spark, docs)).collect()} == {1: docs[1], 2: ""}
+
+
+def test_what_differs_between_lines_has_their_distance(spark):
+    from plain_versions import edit_distance
+
+    r, pairs = random.Random(5), [("a b c", "a b c d"), ("a b c", "x a b c"), ("a a b", "a b"), ("a b", "a a a b"), ("ab c", "a bc")]
+    for i in range(60):
+        words = prose(800 + i, r.randrange(1, 12)).split()
+        pairs.append((" ".join(words), changed(" ".join(words), i, 0.2)))
+        pairs.append((" ".join(words), " ".join(w for w in words if r.random() < 0.8) or "x"))
+    pairs = [(" ".join(a.split()), " ".join(b.split())) for a, b in pairs]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup._differing(F.col("a"), F.col("b")).alias("x")).collect()
+    for row in got:
+        a, b = row["x"]
+        left = abs(len(row["a"]) - len(row["b"])) if not a or not b else edit_distance(a, b)
+        assert left == edit_distance(row["a"], row["b"]), row
+
+
+def test_crossing_compares_a_share_first_and_then_what_it_left(spark):
+    rows = [(1, i, 300, 7, i if i < 60 else 0) for i in range(120)]
+    members = spark.createDataFrame(rows, "key bigint, h1 bigint, n int, sim bigint, g bigint")
+    pairs = lambda m, share: {(r["a"], r["b"]) for r in line_dedup.crossing_pairs(m, share).collect()}
+    whole, some = pairs(members, 1), pairs(members, line_dedup.SHARE)
+    assert len(whole) == 59 * 60 // 2 + 59 * 60 and some < whole and len(some) <= len(whole) / 8
+    # classes that the share connects are compared no more, all others are
+    merged = spark.createDataFrame([(i, 0) for i in range(50)], "id bigint, component bigint")
+    rest = pairs(line_dedup.open_keys(line_dedup.regrouped(members.withColumnRenamed("g", "g_"), "g_", merged)), 1)
+    assert rest == {(a, b) for a, b in whole if b >= 50 and not (a < 50 and b >= 60) and not (a < 50 and b < 50)}
