@@ -360,3 +360,12 @@ def test_crossing_compares_a_share_first_and_then_what_it_left(spark):
     merged = spark.createDataFrame([(i, 0) for i in range(50)], "id bigint, component bigint")
     rest = pairs(line_dedup.open_keys(line_dedup.regrouped(members.withColumnRenamed("g", "g_"), "g_", merged)), 1)
     assert rest == {(a, b) for a, b in whole if b >= 50 and not (a < 50 and b >= 60) and not (a < 50 and b < 50)}
+
+
+def test_crossing_makes_a_pair_on_one_of_its_keys(spark):
+    """Pairs that share several keys are made once; a class of two levels is near at one of them only."""
+    rows = [(key, i, 300, 7, i) for key in (3, 1, 2) for i in range(30)]
+    rows += [(0, 100, 300, 0, 100), (0, 101, 300, (1 << 30) - 1, 101), (9, 100, 300, 5, 100), (9, 101, 300, 5, 101)]
+    members = spark.createDataFrame(rows, "key bigint, h1 bigint, n int, sim bigint, g bigint")
+    made = line_dedup.shared_pairs(members, 1).collect()
+    assert sorted((r["a"], r["b"]) for r in made) == [(a, b) for a in range(30) for b in range(a + 1, 30)] + [(100, 101)]
