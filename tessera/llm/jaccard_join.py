@@ -41,11 +41,13 @@ from tessera.llm.components import connected_components
 from tessera.llm.storage import bucket_count, materialize
 
 SHINGLE = 5
-#: Buckets that feature hashes are dealt to, at least; more for large tables, and where the session has more shuffle partitions.
+#: Buckets that feature hashes are dealt to, at least; more for large tables only, as rows are dealt to each bucket for every batch.
 BUCKETS = 64
 
 _PACKED = "kind int, bucket int, docs array<bigint>, counts array<int>, data binary"
 _BATCH = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("data", pa.binary())])
+_DEALT = "kind int, bucket int, first bigint, gaps binary, data binary"
+_ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("first", pa.int64()), ("gaps", pa.binary()), ("data", pa.binary())])
 
 
 def _feature_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,19 +87,52 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.concatenate((at, [len(x)])))
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """The values in as few bytes each (1, 2, 4 or 8) as the largest needs, behind that number."""
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
+    return bytes([width]) + values.astype(f"u{width}").tobytes()
+
+
+def _widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.uint64)
+
+
+def _gaps(ids: np.ndarray) -> tuple[int, bytes]:
+    """The first of some ascending ids, and what each adds to the one before: few bytes for each, over however many rows the ids of a batch are dealt."""
+    return int(ids[0]), _narrow(np.diff(ids.view(np.uint64), prepend=ids[:1].view(np.uint64)))
+
+
+def _from_gaps(first: int, gaps: bytes) -> np.ndarray:
+    return (np.cumsum(_widened(gaps), dtype=np.uint64) + np.array([first], np.int64).view(np.uint64)).view(np.int64)
+
+
+def _dealt_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
+
+
+def _by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, each in the order of ``doc_id``."""
+    for batch in batches:
+        yield batch.take(pa.array(np.argsort(batch.column("doc_id").to_numpy(zero_copy_only=False), kind="stable")))
+
+
 def _pack(sets: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """One row per bucket and batch: kind 0 what is known of documents, 1 features and their documents, 2 features that are shared for sure."""
+    """One row per bucket and batch: kind 0 what is known of documents, 1 features and their documents, 2 features that are shared for sure.
+
+    The ids of a batch ascend.
+    """
     for ids, starts, values in sets:
         n = np.diff(starts)
         own = np.repeat(np.arange(len(n)), n)
         order, same = _repeated(values)
         known = np.bincount(own[order[same]], minlength=len(n))
         h1, h2 = set_hashes(starts, values)
-        rows = [(0, int(values[0] % np.uint64(buckets)) if len(values) else 0, ids, n, np.concatenate([h1, h2, known]).tobytes())]
+        rows = [(0, int(values[0] % np.uint64(buckets)) if len(values) else 0, 0, None, np.concatenate([ids, n, h1, h2, known]).tobytes())]
         shared = values[order[same]]
         shared = shared[np.concatenate((np.ones(min(1, len(shared)), bool), shared[1:] != shared[:-1]))] if len(shared) else shared
         single = np.sort(order[~same])  # in the order of documents
-        for kind, v, d in ((1, values[single], own[single]), (2, shared, None)):
+        for kind, v, d in ((1, values[single], ids[own[single]]), (2, shared, None)):
             b = ((v >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(b, kind="stable")
             cuts = np.searchsorted(b[by], np.arange(buckets + 1))
@@ -106,55 +141,71 @@ def _pack(sets: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: in
             for k in range(buckets):
                 lo, hi = cuts[k], cuts[k + 1]
                 if hi > lo:
-                    if docs is None:
-                        rows.append((kind, k, [], [], low[lo:hi].tobytes()))
-                    else:
-                        at, length = _runs(docs[lo:hi])
-                        rows.append((kind, k, ids[docs[lo:hi][at]], length, low[lo:hi].tobytes()))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.int32()),
-                pa.array([r[1] for r in rows], pa.int32()),
-                pa.array([np.asarray(r[2], np.int64) for r in rows], pa.list_(pa.int64())),
-                pa.array([np.asarray(r[3], np.int32) for r in rows], pa.list_(pa.int32())),
-                pa.array([r[4] for r in rows], pa.binary()),
-            ],
-            schema=_BATCH,
-        )
+                    rows.append((kind, k, *((0, None) if docs is None else _gaps(docs[lo:hi])), low[lo:hi].tobytes()))
+        yield _dealt_rows(rows)
 
 
-_COUNTED = "doc_id bigint, n bigint, h1 bigint, h2 bigint, shared bigint"
+def _count_shared(buckets: int):
+    """How many features of each document another document has, for the buckets of one task, dealt to buckets by document."""
 
+    def by_document(kind: int, ids: np.ndarray, told) -> pa.RecordBatch:
+        """One row per bucket; ``told`` has the bytes that tell of some of the (ascending) ids."""
+        b = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(b, kind="stable")
+        cuts = np.searchsorted(b[by], np.arange(buckets + 1))
+        parts = [(k, by[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+        return _dealt_rows([(kind, k, *_gaps(ids[part]), told(part)) for k, part in parts])
 
-def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many features of each document another document has, for the buckets of one task."""
-    keys, docs, sure = [], [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, docs, sure = [], [], []
+        for batch in batches:
+            for kind, bucket, first, gaps, data in zip(*(batch.column(i) for i in range(5)), strict=True):
+                data = data.as_py()
+                if kind.as_py() == 0:
+                    known = np.frombuffer(data, np.int64).reshape(5, -1)
+                    yield by_document(0, known[0], lambda part, known=known: known[1:, part].tobytes())
+                    continue
+                key = np.frombuffer(data, np.uint32).astype(np.uint64) | (np.uint64(bucket.as_py()) << np.uint64(32))
+                if kind.as_py() == 2:
+                    sure.append(key)
+                else:
+                    keys.append(key)
+                    docs.append(_from_gaps(first.as_py(), gaps.as_py()))
+        if keys:
+            key, doc = np.concatenate(keys), np.concatenate(docs)
+            order, same = _repeated(key)
+            if sure:
+                same |= np.isin(key[order], np.unique(np.concatenate(sure)))
+            ids, shared = np.unique(doc[order[same]], return_counts=True)
+            if len(ids):
+                yield by_document(1, ids, lambda part: _narrow(shared[part]))
+
+    return run
+
+
+_COUNTED = "doc_id bigint, n bigint, h1 bigint, h2 bigint, shared bigint"
 
-    def out(ids, n, h1, h2, shared):
-        cols = [pa.array(np.asarray(c, np.int64)) if c is not None else pa.nulls(len(ids), pa.int64()) for c in (ids, n, h1, h2, shared)]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "h1", "h2", "shared"])
 
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, h1, h2, shared) of the documents of one task; of rows that share a doc_id the largest set speaks."""
+    known, docs, counts = [], [], []
     for batch in batches:
-        for kind, bucket, ids, counts, data in zip(*(batch.column(i) for i in range(5)), strict=True):
-            data = data.as_py()
-            if kind.as_py() == 0:
-                n = counts.values.to_numpy()
-                h1, h2, known = np.frombuffer(data, np.int64).reshape(3, len(n))
-                yield out(ids.values.to_numpy(), n, h1, h2, known)
-                continue
-            key = np.frombuffer(data, np.uint32).astype(np.uint64) | (np.uint64(bucket.as_py()) << np.uint64(32))
-            if kind.as_py() == 2:
-                sure.append(key)
+        for kind, first, gaps, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+            docs.append(_from_gaps(first, gaps))
+            if kind == 0:
+                *sets, shared = np.frombuffer(data, np.int64).reshape(4, -1)
+                known.append(np.stack([docs[-1], *sets]))
+                counts.append(shared)
             else:
-                keys.append(key)
-                docs.append(np.repeat(ids.values.to_numpy(), counts.values.to_numpy()))
-    if keys:
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        order, same = _repeated(key)
-        if sure:
-            same |= np.isin(key[order], np.unique(np.concatenate(sure)))
-        ids, shared = np.unique(doc[order[same]], return_counts=True)
-        yield out(ids, None, None, None, shared)
+                counts.append(_widened(data).astype(np.int64))
+    if known:
+        rows = np.concatenate(known, axis=1)
+        rows = rows[:, np.lexsort(rows[::-1])]
+        doc = rows[0]
+        last = np.append(doc[1:] != doc[:-1], True)
+        ids, total = doc[last], np.zeros(int(last.sum()), np.int64)
+        np.add.at(total, np.searchsorted(ids, np.concatenate(docs)), np.concatenate(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows[:, last], total)], names=["doc_id", "n", "h1", "h2", "shared"])
 
 
 def count_features(docs: DataFrame) -> DataFrame:
@@ -162,11 +213,10 @@ def count_features(docs: DataFrame) -> DataFrame:
 
     ``shared`` may be too large (by chance, or for repeated rows), never too small.
     """
-    buckets = bucket_count(docs, BUCKETS)
-    packed = docs.select("doc_id", "text").mapInArrow(lambda it: _pack(map(_feature_sets, slices(it)), buckets), _PACKED)
-    counted = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_count_shared, _COUNTED)
-    best = F.max(F.struct("n", "h1", "h2")).alias("best")
-    return counted.groupBy("doc_id").agg(best, F.sum("shared").alias("shared")).select("doc_id", "best.n", "best.h1", "best.h2", "shared")
+    buckets = bucket_count(docs, BUCKETS, spread=False)
+    packed = docs.select("doc_id", "text").mapInArrow(lambda it: _pack(map(_feature_sets, _by_id(slices(it))), buckets), _DEALT)
+    counted = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_count_shared(buckets), _DEALT)
+    return counted.repartitionById(buckets, F.col("bucket")).mapInArrow(_sum_counts, _COUNTED)
 
 
 def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +469,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     chosen = classes.where("n >= 3 AND 100 * shared >= 75 * n").select(F.col("rep").alias("doc_id"), "h1", "h2")
     sets = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").mapInArrow(_packed_sets, "doc_id bigint, n bigint, h1 bigint, h2 bigint, data binary")
     sets = materialize(sets.join(chosen, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "data"), "jaccard-sets")
-    buckets = bucket_count(sets, BUCKETS, "data")
+    buckets = bucket_count(sets, BUCKETS, "data", spread=False)
     dealt = sets.select("doc_id", "data").mapInArrow(_deal_features(buckets), _PACKED).repartitionById(buckets, F.col("bucket")).mapInArrow(_return_shared, "doc_id bigint, data binary")
     pieces = dealt.groupBy("doc_id").agg(F.collect_list("data").alias("pieces"), F.sum(F.length("data") / 8).alias("s"))
     near = sets.select("doc_id", "n").join(pieces, "doc_id").where("100 * s >= 75 * n").select("doc_id", "n", "pieces")

@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from tessera.llm import bpe, lm_score
+from tessera.llm import bpe, jaccard_join, lm_score
 from tessera.llm.arrow_text import mix
 
 
@@ -39,3 +40,19 @@ def test_packed_pairs_take_few_bytes_and_come_back():
     assert packed.nbytes < 200_000  # 321,284 without differences, byte planes and compression
     found = zip(*lm_score._unpacked(iter([packed]), 2), strict=True)
     assert sorted(found) == sorted(zip(doc, second, first, strict=True))
+
+
+def test_packed_features_take_as_many_bytes_in_many_buckets():
+    rng = np.random.default_rng(4)
+    ids = np.arange(7_000_000, 7_001_000) * 3
+    sets = [np.sort(mix(rng.choice(10**7, 300, False).astype(np.uint64))) for _ in ids]
+    starts, values = np.arange(len(ids) + 1) * 300, np.concatenate(sets)
+    packed = {b: list(jaccard_join._pack(iter([(ids, starts, values)]), b)) for b in (64, 640)}
+    size = {b: sum(x.nbytes for x in batches) for b, batches in packed.items()}
+    assert size[640] < 1.25 * size[64]  # 2.05 times with the ids and counts of documents in every row
+    for b, batches in packed.items():
+        counted = list(jaccard_join._count_shared(b)(iter(batches)))
+        out = pa.Table.from_batches(jaccard_join._sum_counts(iter(counted))).to_pydict()
+        _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+        want = (times[at] > 1).reshape(len(ids), 300).sum(1)
+        assert out["doc_id"] == ids.tolist() and out["shared"] == want.tolist() and out["n"] == [300] * len(ids)
