@@ -20,7 +20,10 @@ smallest document id of its connected group.
 3. **Verification.** Each set is first compared with one pivot (the candidate with
    the fewest unshared features, as the original of a group of copies has).
    What lies in different groups after that, but shares signatures, is compared
-   block against block; a pair is then a cell of a small matrix, not a row.
+   in pairs: at once if few sets have the signature, else where two sets share
+   one of the rarest features that each needs for a link. If many have that too,
+   they are compared block against block; a pair is then a cell of a small
+   matrix, not a row.
 
 The features of a hot passage are counted before the shuffle, a group of equal
 documents is one representative, and no group is ever expanded into its pairs
@@ -370,22 +373,36 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between two blocks of sets: one at most for each set of the first block and group of the second."""
+    """Links between two sides of sets, block by block: one at most for each set of a block and group of the other."""
     for batch in batches:
-        for minor, other in zip(batch.column("minor").to_pylist(), batch.column("other").to_pylist(), strict=True):
-            left = [np.frombuffer(x["data"], np.uint64) for x in minor]
-            right = [np.frombuffer(x["data"], np.uint64) for x in other]
-            common = np.intersect1d(np.concatenate(left), np.concatenate(right))
-            counts = _incidence(left, common) @ _incidence(right, common).T
-            na, nb = (np.array([x["n"] for x in side], np.int64) for side in (minor, other))
-            ga, gb = (np.array([x["g"] for x in side], np.int64) for side in (minor, other))
-            counts = counts.astype(np.int64)
-            close = (100 * counts >= 75 * (na[:, None] + nb[None, :] - counts)) & (ga[:, None] != gb[None, :])
-            i, j = np.nonzero(close)
-            if len(i):
-                _, once = np.unique(np.stack([i, gb[j]]), axis=1, return_index=True)
-                ids = [np.array([x["doc_id"] for x in side], np.int64) for side in (minor, other)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[0][i[once]]), pa.array(ids[1][j[once]])], names=["a", "b"])
+        for minor, other in zip(batch.column("minor"), batch.column("other"), strict=True):
+            rest = list(_blocks(other.as_py()))
+            for one in _blocks(minor.as_py()):
+                for two in rest:
+                    yield from _linked(one, two)
+
+
+def _blocks(side: list[dict]) -> Iterator[list[dict]]:
+    """The sets in blocks of about BLOCK_FEATURES features."""
+    ends = np.cumsum([len(x["data"]) // 8 for x in side])
+    cuts = np.searchsorted(ends // BLOCK_FEATURES, np.arange(ends[-1] // BLOCK_FEATURES + 2))
+    return (side[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b)
+
+
+def _linked(minor: list[dict], other: list[dict]) -> Iterator[pa.RecordBatch]:
+    left = [np.frombuffer(x["data"], np.uint64) for x in minor]
+    right = [np.frombuffer(x["data"], np.uint64) for x in other]
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    counts = _incidence(left, common) @ _incidence(right, common).T
+    na, nb = (np.array([x["n"] for x in side], np.int64) for side in (minor, other))
+    ga, gb = (np.array([x["g"] for x in side], np.int64) for side in (minor, other))
+    counts = counts.astype(np.int64)
+    close = (100 * counts >= 75 * (na[:, None] + nb[None, :] - counts)) & (ga[:, None] != gb[None, :])
+    i, j = np.nonzero(close)
+    if len(i):
+        _, once = np.unique(np.stack([i, gb[j]]), axis=1, return_index=True)
+        ids = [np.array([x["doc_id"] for x in side], np.int64) for side in (minor, other)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[0][i[once]]), pa.array(ids[1][j[once]])], names=["a", "b"])
 
 
 def _incidence(sets: list[np.ndarray], common: np.ndarray) -> np.ndarray:
@@ -402,24 +419,58 @@ def _incidence(sets: list[np.ndarray], common: np.ndarray) -> np.ndarray:
 FEW = 24
 #: Features in one block of sets that a task compares with another block.
 BLOCK_FEATURES = 40_000
+#: Blocks on each side of a row that a task gets: more of them, and sets are sent to fewer tasks.
+SIDE = 8
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, sig): the features of sets, a row each."""
+    for batch in batches:
+        for ids, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            values = np.frombuffer(data, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), ids, np.int64)), pa.array(values)], names=["doc_id", "sig"])
+
+
+def _rare_features(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sig, doc_id, n, s, g): the rarest features of the sets (doc_id, g) in ``many``, one of which two similar sets of different groups share.
+
+    Features of a single group count for nothing here. Of the others a set needs
+    three quarters of its size, so it shares one of those beyond the rest of
+    them with what it links to, whatever the order; rare ones are in few sets.
+    """
+    members = materialize(many.select("doc_id", "g").distinct().join(sets.select("doc_id", "n", "data"), "doc_id"), "jaccard-many")
+    features = members.select("doc_id", "data").mapInArrow(_features, "doc_id bigint, sig bigint").join(members.select("doc_id", "g", "n"), "doc_id")
+    open_ = features.groupBy("sig").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("of")).where("low < high")
+    told = features.join(open_.select("sig", "of"), "sig").groupBy("doc_id", "g", "n").agg(F.sort_array(F.collect_list(F.struct("of", "sig"))).alias("all"))
+    spare = (F.size("all") - F.floor((3 * F.col("n") + 3) / 4) + 1).cast("int")
+    first = told.withColumn("s", F.size("all").cast("long")).withColumn("all", F.slice("all", 1, F.greatest(spare, F.lit(0))))
+    return first.select(F.explode("all.sig").alias("sig"), "doc_id", "n", "s", "g")
 
 
 def _crossing_links(grouped: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between sets of different groups that share a signature.
 
     ``grouped`` has (sig, doc_id, n, s, g). The sets of a signature that few
-    share are compared in pairs. Groups that share a common signature form
+    share are compared in pairs. The others, and what has a text in common with
+    many, are compared where they share one of their rarest features: in pairs
+    again where few have it. Groups that share such a feature with many form
     clusters; in each, every set outside the cluster's largest group is compared
     with all others, block against block, so that pairs exist only as cells of a
     count matrix in a task.
     """
+    few, many = _few_and_many(grouped)
+    rare, common = _few_and_many(_rare_features(many, sets))
+    return verified(few.unionByName(rare).distinct(), sets).unionByName(_cluster_links(common, sets))
+
+
+def _few_and_many(grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of different groups that share a signature with few others, and (doc_id, g, low) of the sets that share one with many."""
     mixed = grouped.groupBy("sig").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("k")).where("low < high")
     mixed = materialize(grouped.join(mixed.select("sig", "low", "k"), "sig"), "jaccard-mixed")
     sides = [mixed.where(F.col("k") <= FEW).select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "s", "g")]) for x in "ab"]
     bound = F.expr("g_a < g_b AND 100 * least(s_a, s_b) >= 75 * (n_a + n_b - least(s_a, s_b))")
     few = sides[0].join(sides[1], (sides[0]["sig"] == sides[1]["sig"]) & bound).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-    many = mixed.where(F.col("k") > FEW).select("doc_id", "g", "low").distinct()
-    return verified(few.distinct(), sets).unionByName(_cluster_links(many, sets))
+    return few, mixed.where(F.col("k") > FEW).select("doc_id", "g", "low").distinct()
 
 
 def _cluster_links(many: DataFrame, sets: DataFrame) -> DataFrame:
@@ -430,12 +481,12 @@ def _cluster_links(many: DataFrame, sets: DataFrame) -> DataFrame:
     members = materialize(own.join(sets.select("doc_id", "n", "s", "data"), "doc_id"), "jaccard-members")
     sizes = members.groupBy("c", "g").agg(F.count("*").alias("k"), F.sum("s").alias("s"))
     total = sizes.groupBy("c").agg(F.sum("s").alias("s"), F.max_by("g", F.struct("k", "g")).alias("largest"))
-    total = total.select("c", "largest", F.ceil(F.col("s") / BLOCK_FEATURES).alias("blocks"))
+    total = total.select("c", "largest", F.ceil(F.col("s") / (BLOCK_FEATURES * SIDE)).alias("blocks"))
     placed = members.join(total, "c").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     fields = F.collect_list(F.struct("doc_id", "g", "n", "data"))
     other = placed.groupBy("c", "block").agg(fields.alias("other"))
     minor = placed.where("g <> largest AND 100 * s >= 75 * n").groupBy("c", "block", "blocks").agg(fields.alias("minor"))
-    # no task has all pairs of a cluster: they are dealt by both of their blocks in turn
+    # no task has all pairs of a cluster: they are dealt by both of their sides in turn
     to = minor.select("c", F.col("block").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     pairs = to.join(other, ["c", "block"]).join(minor.select("c", F.col("block").alias("of"), "minor"), ["c", "of"])
     return pairs.select("minor", "other").mapInArrow(_block_links, "a bigint, b bigint")

@@ -369,3 +369,16 @@ def test_crossing_makes_a_pair_on_one_of_its_keys(spark):
     members = spark.createDataFrame(rows, "key bigint, h1 bigint, n int, sim bigint, g bigint")
     made = line_dedup.shared_pairs(members, 1).collect()
     assert sorted((r["a"], r["b"]) for r in made) == [(a, b) for a in range(30) for b in range(a + 1, 30)] + [(100, 101)]
+
+
+def test_texts_with_much_in_common_are_compared_by_their_rare_parts(spark, monkeypatch):
+    """Forty texts with two thirds in common, in twenty pairs of near copies: the pairs link, and none goes to the blocks."""
+    common, texts = prose(7, 200), {}
+    for i in range(40):
+        texts[i] = common + " " + prose(100 + i // 2, 100) + f" end{i}"
+    blocks = []
+    whole = jaccard_join._cluster_links
+    monkeypatch.setattr(jaccard_join, "_cluster_links", lambda many, sets: blocks.append(many.count()) or whole(many, sets))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_groups(table(spark, texts)).collect()}
+    assert got == similar_groups(texts) and len(set(got.values())) == 20
+    assert blocks == [0]  # 40 before
