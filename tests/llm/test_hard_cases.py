@@ -381,4 +381,31 @@ def test_texts_with_much_in_common_are_compared_by_their_rare_parts(spark, monke
     monkeypatch.setattr(jaccard_join, "_cluster_links", lambda many, sets: blocks.append(many.count()) or whole(many, sets))
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_groups(table(spark, texts)).collect()}
     assert got == similar_groups(texts) and len(set(got.values())) == 20
-    assert blocks == [0]  # 40 before
+    assert blocks == [0]  # 78 rows before
+
+
+def test_all_pairs_of_short_lines(spark):
+    """Edits spread over all of a line, in lines of few or of no long words: every pair within the edit budget ends in one group."""
+    r, texts = random.Random(17), {}
+    for k in range(150):
+        short = r.random() < 0.4
+        words = ["".join(r.choices("etaoinshrdlu", k=r.randint(1, 3) if short else r.randint(2, 9))) for _ in range(r.randint(5, 14))]
+        line = " ".join(words)[: line_dedup.SHORT - 6].strip()
+        texts[2 * k], edited = line, list(line)
+        for _ in range(len(line) // 10):
+            i, kind = r.randrange(len(edited)), r.randrange(3)
+            edited[i : i + 1] = [[], [edited[i], "q"], ["z"]][kind]
+        texts[2 * k + 1] = "".join(edited)
+    want = dedup_lines(texts)
+    assert sum(t == "" for t in want.values()) > 80
+    assert {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(table(spark, texts)).collect()} == want
+
+
+def test_lines_of_few_long_words_have_keys(spark):
+    """Lines of any length that have hardly a word which votes."""
+    texts = {}
+    for k in range(12):
+        words = [prose(900 + 100 * k + i, 1)[:3] for i in range(80)]
+        texts[2 * k] = " ".join(words)
+        texts[2 * k + 1] = " ".join(words[:40] + ["qqq"] + words[41:])
+    assert {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(table(spark, texts)).collect()} == dedup_lines(texts)
